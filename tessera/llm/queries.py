@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id
 from tessera.llm.containers import fill_containers
+from tessera.llm.encode import TOKENIZER, encode_texts
+from tessera.llm.leaks import leaked_items
 from tessera.llm.topn import top_n_per_group
 from tessera.sources.tables import table
 
@@ -22,7 +24,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, 10).select(F.col("group").alias("query_id"), F.col("item").alias("doc_id"))
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p3_found": p3_found}
+def p5_ids(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER) -> DataFrame:
+    """The token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each evaluation item of which it has 12 successive words."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation items that leaked: task, and number of documents they leaked into."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "task")
+    n = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return n.join(items, "item_id", "left").select("item_id", "task", "documents")
+
+
+QUERIES = {"p1_sequences": p1_sequences, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report}
 SQL = {
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,
