@@ -9,6 +9,7 @@ from tessera.functions.ids import canonical_id
 from tessera.llm.containers import fill_containers
 from tessera.llm.encode import TOKENIZER, encode_texts
 from tessera.llm.leaks import leaked_items
+from tessera.llm.neardup import record_rows, similar_classes, similar_records
 from tessera.llm.topn import top_n_per_group
 from tessera.sources.tables import table
 
@@ -18,6 +19,23 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(table(spark, sf_dir, "tokenized_dataset"), F.col("query_len") + F.col("pos_len"), 2048)
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and owners of the passages of corpus, and of those that only data_doc has."""
+    corpus = table(spark, sf_dir, "corpus").select(canonical_id("_id").try_cast("bigint").alias("id"), "ord", "text")
+    pos = table(spark, sf_dir, "data_doc").select(canonical_id("positive_id").try_cast("bigint").alias("id"), "ord", F.col("positive_text").alias("text"))
+    return record_rows(corpus, pos)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of passages whose sets of three successive words have a similarity of at least a half."""
+    return similar_records(*_passages(spark, sf_dir), width=3, threshold=0.5, least_words=20)
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage with its class of equal sets, at five words and a similarity of 0.8."""
+    return similar_classes(*_passages(spark, sf_dir), width=5, threshold=0.8, least_words=20)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents of each query."""
     hits = table(spark, sf_dir, "search_results").select(F.coalesce(canonical_id("query_id"), "query_id").alias("query_id"), "doc_ids", "scores")
@@ -41,7 +59,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(items, "item_id", "left").select("item_id", "task", "documents")
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report}
 SQL = {
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,
