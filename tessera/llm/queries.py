@@ -10,6 +10,7 @@ from tessera.llm.containers import fill_containers
 from tessera.llm.encode import TOKENIZER, encode_texts
 from tessera.llm.leaks import leaked_items
 from tessera.llm.neardup import record_rows, similar_classes, similar_records
+from tessera.llm.quality import not_prose, text_statistics
 from tessera.llm.topn import top_n_per_group
 from tessera.sources.tables import table
 
@@ -59,7 +60,17 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(items, "item_id", "left").select("item_id", "task", "documents")
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are for the greater part no running text."""
+    return not_prose(table(spark, sf_dir, "documents"))
+
+
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and the nearest structural profile of every document."""
+    return text_statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
 SQL = {
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,

@@ -17,6 +17,13 @@ def _alnum() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    """The code point of each code point's lower case (itself where that is more than one)."""
+    low = (chr(c).lower() for c in range(sys.maxunicode + 1))
+    return np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(low)), np.uint64, sys.maxunicode + 1)
+
+
 _weights = np.ones(1, np.uint64)
 
 
@@ -46,6 +53,21 @@ def normalized(text: str | None) -> str:
     return text.replace("\0", " ") if "\0" in text else text
 
 
+def word_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first place, length) of each word in code points; the hash does not depend on case."""
+    is_word = _alnum()[cp]
+    begins = is_word.copy()
+    begins[1:] &= ~is_word[:-1]
+    at, first = np.flatnonzero(is_word), np.flatnonzero(begins)
+    if not len(first):
+        return np.zeros(0, np.uint64), first, first
+    rank = np.searchsorted(at, first)  # of each word's first letter among all letters
+    size = np.diff(np.r_[rank, len(at)])
+    inside = np.arange(len(at)) - np.repeat(rank, size)
+    terms = (_lower()[cp[at]] + np.uint64(1)) * _weight(int(size.max()))[inside]
+    return mix(np.add.reduceat(terms, rank) + size.astype(np.uint64)), first, size
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word as uint64, number of words of each text), in order.
 
@@ -56,21 +78,9 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(cp):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    is_word = _alnum()[cp]
-    begins = is_word.copy()
-    begins[1:] &= ~is_word[:-1]
-    at = np.flatnonzero(is_word)
-    first = np.flatnonzero(begins)
-    sep = np.flatnonzero(cp == 0)
-    upto = np.searchsorted(first, np.r_[sep, len(cp)])
-    per_text = np.diff(np.r_[0, upto])
-    if not len(first):
-        return np.zeros(0, np.uint64), per_text
-    rank = np.searchsorted(at, first)  # of each word's first letter among all letters
-    size = np.diff(np.r_[rank, len(at)])
-    inside = np.arange(len(at)) - np.repeat(rank, size)
-    terms = (cp[at].astype(np.uint64) + np.uint64(1)) * _weight(int(size.max()))[inside]
-    return mix(np.add.reduceat(terms, rank) + size.astype(np.uint64)), per_text
+    hashes, first, _ = word_hashes(cp)
+    upto = np.searchsorted(first, np.r_[np.flatnonzero(cp == 0), len(cp)])
+    return hashes, np.diff(np.r_[0, upto])
 
 
 def shingles(hashes: np.ndarray, per_text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
