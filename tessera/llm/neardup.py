@@ -9,6 +9,7 @@ bucket is searched by signature tree.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -23,11 +24,11 @@ from tessera.session import cut
 #: Bits that a shingle hash keeps; two equal hashes of different shingles only ever cost a look at a pair.
 HASH_BITS = 44
 #: Cells (as a power of two) of the table of shingle counts; its size never grows.
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 #: 64-bit words of a signature.
 SIG_WORDS = 4
 #: Records in a leaf of a signature tree, and children of a node.
-LEAF, FANOUT = 32, 4
+LEAF, FANOUT = 64, 4
 #: Bits (as a power of two) of the filter of candidate rows; its size never grows.
 FILTER_BITS = 23
 #: A bucket that may hold more records is cut into blocks that are searched pairwise in other tasks.
@@ -155,57 +156,68 @@ def leaf_pairs(a: SignatureTree, b: SignatureTree | None, t: Fraction) -> tuple[
             x, y = x[keep], y[keep]
 
 
-def _test(i: np.ndarray, j: np.ndarray, size: np.ndarray, bits: np.ndarray, t: Fraction) -> np.ndarray:
-    """Whether signatures and sizes allow a similar pair."""
-    si, sj = size[i], size[j]
-    ok = np.minimum(si, sj) * t.denominator >= np.maximum(si, sj) * t.numerator
-    i, j, si, sj = i[ok], j[ok], si[ok], sj[ok]
-    bi, bj = bits[i], bits[j]
-    most = np.minimum(si - np.bitwise_count(bi & ~bj).sum(axis=1), sj - np.bitwise_count(bj & ~bi).sum(axis=1))
-    good = most >= _least_overlap(si + sj, t)
-    at = np.flatnonzero(ok)
-    return at[good]
+class _Signatures:
+    """Sizes and bits of records, column by column, and the least overlap by sum of sizes."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, t: Fraction):
+        self.size = size.astype(np.int32)
+        self.words = [np.ascontiguousarray(bits[:, w]) for w in range(bits.shape[1])]
+        self.surplus = (size - np.bitwise_count(bits).sum(axis=1)).astype(np.int32)
+        self.need = _least_overlap(np.arange(2 * int(size.max(initial=0)) + 1), t).astype(np.int32)
+        self.t = t
+
+    def columns(self, rec: np.ndarray) -> tuple:
+        """Sizes, surplus and words of records, in the shape of rec."""
+        return self.size[rec], self.surplus[rec], [w[rec] for w in self.words]
+
+    def alike(self, a: tuple, ia, b: tuple, ib) -> np.ndarray:
+        """Whether signatures and sizes allow a similar pair; ia and ib pick from the columns."""
+        common = np.bitwise_count(a[2][0][ia] & b[2][0][ib]).astype(np.int16)
+        for x, y in zip(a[2][1:], b[2][1:]):
+            common += np.bitwise_count(x[ia] & y[ib])
+        sa, sb = a[0][ia], b[0][ib]
+        most = np.minimum(np.minimum(a[1][ia], b[1][ib]) + common, np.minimum(sa, sb))
+        n, d = self.t.numerator, self.t.denominator
+        return (most >= self.need[sa + sb]) & (most * d >= np.maximum(sa, sb) * n)
 
 
 def search_buckets(bucket: np.ndarray, rec: np.ndarray, side: np.ndarray, inner: np.ndarray, size: np.ndarray, bits: np.ndarray, t: Fraction) -> np.ndarray:
     """Candidate pairs of records, as i * n + j with i < j.
 
-    One posting is a bucket, a record, a side (0: compared within and with side 1; 1:
-    compared with side 0 only; 2: all within) and inner, whether the bucket lies in the record's short
-    prefix. Buckets of up to LEAF records are single leaves and are handled
-    together by number of records; greater ones get a tree.
+    One posting is a bucket, a record, a side (0 and 1: compared with each
+    other only; 2: all within) and inner, whether the bucket lies in the
+    record's short prefix. Buckets of up to LEAF records are single leaves and
+    are handled together by number of records; greater ones get a tree.
     """
     n = len(size)
     o = np.lexsort((rec, bucket))
     bucket, rec, side, inner = bucket[o], rec[o], side[o], inner[o]
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(bucket)])
+    sig = _Signatures(size, bits, t)
     out: list[np.ndarray] = []
 
-    def keep(p: np.ndarray, q: np.ndarray) -> None:
-        """p, q: places of postings."""
-        for lo in range(0, len(p), _CHUNK):
-            a, b = p[lo : lo + _CHUNK], q[lo : lo + _CHUNK]
-            # the smaller set of a similar pair meets the other in its short prefix
-            sa, sb = size[rec[a]], size[rec[b]]
-            ok = (inner[a] & (sa <= sb)) | (inner[b] & (sb <= sa))
-            ok &= (side[a] == 2) | (side[a] != side[b])
-            a, b = a[ok], b[ok]
-            i, j = rec[a], rec[b]
-            good = _test(i, j, size, bits, t)
-            i, j = i[good], j[good]
-            ok = i != j
-            i, j = i[ok], j[ok]
-            if len(i):
-                out.append(np.unique(np.minimum(i, j) * n + np.maximum(i, j)))
+    def meet(pa_: np.ndarray, ca: tuple, ia, pb: np.ndarray, cb: tuple, ib) -> None:
+        """Keep the similar ones of the pairs of postings pa_[ia], pb[ib] with their columns."""
+        ok = sig.alike(ca, ia, cb, ib)
+        p, q = np.broadcast_arrays(pa_[ia], pb[ib])
+        p, q = p[ok], q[ok]
+        # the smaller set of a similar pair meets the other in its short prefix
+        i, j = rec[p], rec[q]
+        sa, sb = sig.size[i], sig.size[j]
+        ok = ((inner[p] & (sa <= sb)) | (inner[q] & (sb <= sa))) & ((side[p] == 2) | (side[p] != side[q])) & (i != j)
+        i, j = i[ok], j[ok]
+        if len(i):
+            out.append(np.unique(np.minimum(i, j) * n + np.maximum(i, j)))
 
     for m in np.unique(count[(count > 1) & (count <= LEAF)]):
         s = start[count == m]
         a, b = np.triu_indices(m, 1)
         step = max(1, _CHUNK // len(a))
         for lo in range(0, len(s), step):
-            w = s[lo : lo + step, None]
-            keep((w + a).ravel(), (w + b).ravel())
+            at = s[lo : lo + step, None] + np.arange(m)
+            cols = sig.columns(rec[at])
+            meet(at, cols, (slice(None), a), at, cols, (slice(None), b))
     for s, m in zip(start[count > LEAF], count[count > LEAF]):
         at = np.arange(s, s + m)
         halves = [at] if side[s] == 2 else [at[side[at] == 0], at[side[at] == 1]]
@@ -214,15 +226,13 @@ def search_buckets(bucket: np.ndarray, rec: np.ndarray, side: np.ndarray, inner:
         trees = [SignatureTree(np.arange(len(h)), size[rec[h]], bits[rec[h]]) for h in halves]
         ta, tb = trees[0], trees[-1]
         x, y = leaf_pairs(ta, None if len(trees) == 1 else tb, t)
+        cols = [sig.columns(rec[h]) for h in halves]
+        # places of a leaf's records; a short leaf repeats its last one
+        la = ta.rec[np.minimum(ta.start[:, None] + np.arange(LEAF), ta.end[:, None] - 1)]
+        lb = tb.rec[np.minimum(tb.start[:, None] + np.arange(LEAF), tb.end[:, None] - 1)]
         step = max(1, _CHUNK // (LEAF * LEAF))
-        g = np.arange(LEAF)
         for lo in range(0, len(x), step):
-            xs, ys = x[lo : lo + step], y[lo : lo + step]
-            a, b = (np.broadcast_arrays((ta.start[xs][:, None, None] + g[:, None]), (tb.start[ys][:, None, None] + g)))
-            there = (a < ta.end[xs][:, None, None]) & (b < tb.end[ys][:, None, None])
-            if len(trees) == 1:
-                there &= a < b
-            keep(halves[0][ta.rec[a[there]]], halves[-1][tb.rec[b[there]]])
+            meet(halves[0], cols[0], la[x[lo : lo + step]][:, :, None], halves[-1], cols[-1], lb[y[lo : lo + step]][:, None, :])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -246,27 +256,31 @@ def _profile(rows: DataFrame, width: int, least: int) -> tuple[DataFrame, np.nda
             h = set_hash(members, size)[size_kept]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(size[size_kept], pa.int32()), pa.array(h), pa.nulls(len(h), pa.binary())], names)
         if count.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([count.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([_packed(count)], pa.binary())], names)
 
     return cut(rows.mapInArrow(scan, "row_id bigint, n int, set_hash bigint, cells binary"))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    return zlib.compress(v.tobytes(), 1)
+
+
 def _add_up(column: DataFrame, dtype: type, join) -> np.ndarray | None:
-    """Combine equal-length arrays of one binary column on the executors; the driver sees a few of them."""
+    """Combine equal-length packed arrays of one binary column on the executors; the driver sees a few of them."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for x in b.column(0):
-                v = np.frombuffer(x.as_py(), dtype)
+                v = np.frombuffer(zlib.decompress(x.as_py()), dtype)
                 total = v.copy() if total is None else join(total, v)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["x"])
 
     few = column.coalesce(8).mapInArrow(fold, "x binary").collect()
     total = None
     for r in few:
-        v = np.frombuffer(r.x, dtype)
+        v = np.frombuffer(zlib.decompress(r.x), dtype)
         total = v.copy() if total is None else join(total, v)
     return total
 
@@ -378,7 +392,7 @@ def _row_filter(ids: DataFrame) -> np.ndarray | None:
         for b in batches:
             on[_filter_at(b.column(0).to_numpy(zero_copy_only=False))] = True
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(np.packbits(on))], pa.binary())], ["x"])
 
     return _add_up(ids.coalesce(8).mapInArrow(mark, "x binary"), np.uint8, np.bitwise_or)
 
