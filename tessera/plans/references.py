@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.ids import _blank_chars, _digit_map
 from tessera.operators.references import Parent, orphan_references, orphan_report
+from tessera.plans.sqltext import blanks, sql_id
 from tessera.sources.tables import table
 
 
@@ -25,22 +25,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refs_sql() -> str:
     """Common tables refs (ord, ref_table, k, at, orphan) and what they need, for DuckDB."""
-    src, dst = _digit_map()
-    blanks = "||".join(f"chr({ord(c)})" for c in _blank_chars())
-
-    def key(c: str) -> str:
-        t = f"translate(trim({c}, {blanks}), '{src}', '{dst}')"
-        digits = f"regexp_replace({t}, '\\.0*$', '')"
-        return f"CASE WHEN regexp_full_match({t}, '[0-9]+(\\.0*)?') THEN coalesce(nullif(ltrim({digits}, '0'), ''), '0') END"
-
     def side(name: str, fk: str) -> str:
         return (
-            f"SELECT ord, '{name}' AS ref_table, coalesce({key(fk)}, '!' || {fk}) AS k, judged_at AS seen FROM qrels "
-            f"WHERE {fk} IS NOT NULL AND trim({fk}, {blanks}) <> ''"
+            f"SELECT ord, '{name}' AS ref_table, coalesce({sql_id(fk)}, '!' || {fk}) AS k, judged_at AS seen FROM qrels "
+            f"WHERE {fk} IS NOT NULL AND trim({fk}, {blanks()}) <> ''"
         )
 
     def parent(name: str) -> str:
-        return f"SELECT '{name}' AS ref_table, {key('_id')} AS k, added_at AS since, deleted_at AS until FROM {name}"
+        return f"SELECT '{name}' AS ref_table, {sql_id('_id')} AS k, added_at AS since, deleted_at AS until FROM {name}"
 
     fks = {"corpus": '"corpus-id"', "queries": '"query-id"'}
     return (
