@@ -159,10 +159,11 @@ def leaf_pairs(a: SignatureTree, b: SignatureTree | None, t: Fraction) -> tuple[
 class _Signatures:
     """Sizes and bits of records, column by column, and the least overlap by sum of sizes."""
 
-    def __init__(self, size: np.ndarray, bits: np.ndarray, t: Fraction):
-        self.size = size.astype(np.int32)
-        self.words = [np.ascontiguousarray(bits[:, w]) for w in range(bits.shape[1])]
-        self.surplus = (size - np.bitwise_count(bits).sum(axis=1)).astype(np.int32)
+    def __init__(self, size: np.ndarray, words_: list[np.ndarray], t: Fraction):
+        self.size, self.words = size.astype(np.int32), words_
+        self.surplus = self.size.copy()
+        for w in words_:
+            self.surplus -= np.bitwise_count(w)
         self.need = _least_overlap(np.arange(2 * int(size.max(initial=0)) + 1), t).astype(np.int32)
         self.t = t
 
@@ -181,20 +182,23 @@ class _Signatures:
         return (most >= self.need[sa + sb]) & (most * d >= np.maximum(sa, sb) * n)
 
 
-def search_buckets(bucket: np.ndarray, rec: np.ndarray, side: np.ndarray, inner: np.ndarray, size: np.ndarray, bits: np.ndarray, t: Fraction) -> np.ndarray:
+def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarray], t: Fraction) -> np.ndarray:
     """Candidate pairs of records, as i * n + j with i < j.
 
-    One posting is a bucket, a record, a side (0 and 1: compared with each
-    other only; 2: all within) and inner, whether the bucket lies in the
-    record's short prefix. Buckets of up to LEAF records are single leaves and
-    are handled together by number of records; greater ones get a tree.
+    A posting (see posting) is a bucket, a record, a side (0 and 1: compared
+    with each other only; 2: all within) and inner, whether the bucket lies in
+    the record's short prefix; postings are ascending. Buckets of up to LEAF
+    records are single leaves and are handled together by number of records;
+    greater ones get a tree.
     """
     n = len(size)
-    o = np.lexsort((rec, bucket))
-    bucket, rec, side, inner = bucket[o], rec[o], side[o], inner[o]
+    bucket = (postings >> _U(35)).astype(np.int32)
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(bucket)])
-    sig = _Signatures(size, bits, t)
+    del bucket
+    rec = ((postings >> _U(3)) & _U(0xFFFFFFFF)).astype(np.int64)
+    side, inner = ((postings >> _U(1)) & _U(3)).astype(np.uint8), (postings & _U(1)).astype(bool)
+    sig = _Signatures(size, words_, t)
     out: list[np.ndarray] = []
 
     def meet(pa_: np.ndarray, ca: tuple, ia, pb: np.ndarray, cb: tuple, ib) -> None:
@@ -223,7 +227,7 @@ def search_buckets(bucket: np.ndarray, rec: np.ndarray, side: np.ndarray, inner:
         halves = [at] if side[s] == 2 else [at[side[at] == 0], at[side[at] == 1]]
         if not all(len(h) for h in halves):
             continue
-        trees = [SignatureTree(np.arange(len(h)), size[rec[h]], bits[rec[h]]) for h in halves]
+        trees = [SignatureTree(np.arange(len(h)), size[rec[h]], np.stack([w[rec[h]] for w in words_], axis=1)) for h in halves]
         ta, tb = trees[0], trees[-1]
         x, y = leaf_pairs(ta, None if len(trees) == 1 else tb, t)
         cols = [sig.columns(rec[h]) for h in halves]
@@ -295,7 +299,7 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
         # counts in steps of an eighth of an octave: enough for an order, and few bits
         rank = np.minimum(np.log2(np.maximum(count, 1)) * 8, 255).astype(_U)
         blocks = np.maximum(1, -(-count // hot)).astype(np.int64)
-        seen = np.zeros(0, np.int64)
+        seen: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 b = whole.slice(lo, 4096)
@@ -304,8 +308,11 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
                 _, first = np.unique(h, return_index=True)
                 take = np.zeros(len(h), bool)
                 take[first] = True
-                take &= (n >= least) & (size > 0) & ~np.isin(h, seen)
-                seen = np.r_[seen, h[take]][-500_000:]
+                take &= (n >= least) & (size > 0)
+                take[take] = [x not in seen for x in h[take].tolist()]
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.update(h[take].tolist())
                 members, size, h = members[np.repeat(take, size)], size[take], h[take]
                 if not len(h):
                     continue
@@ -346,37 +353,59 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
     return rows.mapInArrow(pack, "part int, blob binary")
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Records (hash, bits, size) once each, and postings (bucket, record, side, inner)."""
-    hs, bs, ss, ks, low = [], [], [], [], []
-    for x in blobs:
-        n, m = np.frombuffer(x, np.int64, 2)
+def posting(bucket: np.ndarray, rec: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """Bucket (29 bits), record (32), side (2) and inner (1) as one key; ordered by bucket, then record."""
+    return (bucket.astype(_U) << _U(35)) | (rec.astype(_U) << _U(3)) | flag.astype(_U)
+
+
+class _Unpacker:
+    """Gathers blobs into records (hash, signature words, size), once each, and postings."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = [[], [], [], [], []]
+
+    def add(self, blob) -> None:
+        n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
         at = 16
-        for to, kind, k in ((hs, np.int64, n), (bs, _U, n * SIG_WORDS), (ss, np.int32, n), (ks, np.int32, n), (low, np.uint32, m)):
-            to.append(np.frombuffer(x, kind, k, at))
-            at += int(k) * np.dtype(kind).itemsize
-    h, bits, size, k, low_ = (np.concatenate(v) for v in (hs, bs, ss, ks, low))
-    uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-    rec = np.repeat(back, k)
-    # the same set from two tasks: its postings are there twice
-    key = np.stack([low_.astype(np.int64), rec])
-    o = np.lexsort(key)
-    key = key[:, o]
-    key = key[:, np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]]
-    low_, rec = key
-    return uniq, bits.reshape(-1, SIG_WORDS)[first], size[first].astype(np.int64), low_ >> 3, rec, (low_ >> 1) & 3, (low_ & 1) == 1
+        for to, kind, k in zip(self.parts, (np.int64, _U, np.int32, np.int32, np.uint32), (n, n * SIG_WORDS, n, n, m)):
+            to.append(np.frombuffer(blob, kind, k, at).copy())
+            at += k * np.dtype(kind).itemsize
+
+    def _take(self, i: int) -> np.ndarray:
+        out = np.concatenate(self.parts[i])
+        self.parts[i] = []
+        return out
+
+    def result(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(hashes ascending, signature words, sizes, postings ascending)."""
+        uniq, first, back = np.unique(self._take(0), return_index=True, return_inverse=True)
+        bits = self._take(1).reshape(-1, SIG_WORDS)
+        words_ = [bits[first, w] for w in range(SIG_WORDS)]
+        del bits
+        size = self._take(2)[first]
+        rec = np.repeat(back.astype(np.uint32), self._take(3))
+        low = self._take(4)
+        key = posting(low >> np.uint32(3), rec, low & np.uint32(7))
+        del rec, low
+        key.sort()
+        # the same set from two tasks: its postings are there twice
+        return uniq, words_, size, key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
 
 
 def _candidates(postings: DataFrame, parts: int, t: Fraction) -> DataFrame:
     """(a, b): set hashes of pairs that the signature trees let through, a < b."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_py() for b in batches for x in b.column(1)]
-        if not blobs:
+        got, some = _Unpacker(), False
+        for b in batches:
+            for x in b.column(1):
+                got.add(x.as_buffer())
+                some = True
+        if not some:
             return
-        h, bits, size, bucket, rec, side, inner = _unpack(blobs)
-        del blobs
-        pairs = search_buckets(bucket, rec, side, inner, size, bits, t)
+        h, words_, size, postings_ = got.result()
+        del got
+        pairs = search_buckets(postings_, size, words_, t)
         i, j = np.divmod(pairs, len(h))  # h is sorted, so h[i] < h[j]
         for lo in range(0, len(i), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(h[i[lo : lo + 65_536]]), pa.array(h[j[lo : lo + 65_536]])], ["a", "b"])
