@@ -25,8 +25,9 @@ from tessera.session import cut
 HASH_BITS = 44
 #: Cells (as a power of two) of the table of shingle counts; its size never grows.
 SKETCH_BITS = 20
-#: 64-bit words of a signature.
-SIG_WORDS = 4
+#: 64-bit words of a signature, and of the second signature that sets of more than WIDE members have.
+SIG_WORDS, WIDE_WORDS = 4, 16
+WIDE = 128
 #: Records in a leaf of a signature tree, and children of a node.
 LEAF, FANOUT = 64, 4
 #: Bits (as a power of two) of the filter of candidate rows; its size never grows.
@@ -71,10 +72,10 @@ def _cells(members: np.ndarray) -> np.ndarray:
     return (members >> _U(HASH_BITS - SKETCH_BITS)).astype(np.int64)
 
 
-def _bits(members: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The OR-combined member bits of each set, as rows of SIG_WORDS 64-bit words."""
-    out = np.zeros((len(size), SIG_WORDS * 64), bool)
-    out[np.repeat(np.arange(len(size)), size), (members % _U(SIG_WORDS * 64)).astype(np.int64)] = True
+def _bits(members: np.ndarray, size: np.ndarray, words_: int = SIG_WORDS) -> np.ndarray:
+    """The OR-combined member bits of each set, as rows of 64-bit words."""
+    out = np.zeros((len(size), words_ * 64), bool)
+    out[np.repeat(np.arange(len(size)), size), (members % _U(words_ * 64)).astype(np.int64)] = True
     return np.packbits(out, axis=1, bitorder="little").view(_U)
 
 
@@ -159,8 +160,10 @@ def leaf_pairs(a: SignatureTree, b: SignatureTree | None, t: Fraction) -> tuple[
 class _Signatures:
     """Sizes and bits of records, column by column, and the least overlap by sum of sizes."""
 
-    def __init__(self, size: np.ndarray, words_: list[np.ndarray], t: Fraction):
+    def __init__(self, size: np.ndarray, words_: list[np.ndarray], wide: np.ndarray, t: Fraction):
         self.size, self.words = size.astype(np.int32), words_
+        self.wide, self.wide_at = wide, np.cumsum(size > WIDE) - 1
+        self.wide_surplus = self.size[size > WIDE] - np.bitwise_count(wide).sum(axis=1).astype(np.int32)
         self.surplus = self.size.copy()
         for w in words_:
             self.surplus -= np.bitwise_count(w)
@@ -181,15 +184,27 @@ class _Signatures:
         n, d = self.t.numerator, self.t.denominator
         return (most >= self.need[sa + sb]) & (most * d >= np.maximum(sa, sb) * n)
 
+    def still_alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same by the second signature, where both sets have one; the first says little of great sets."""
+        ok = np.ones(len(i), bool)
+        both = np.flatnonzero((self.size[i] > WIDE) & (self.size[j] > WIDE))
+        for lo in range(0, len(both), 1 << 17):
+            at = both[lo : lo + (1 << 17)]
+            a, b = self.wide_at[i[at]], self.wide_at[j[at]]
+            common = np.bitwise_count(self.wide[a] & self.wide[b]).sum(axis=1)
+            most = common + np.minimum(self.wide_surplus[a], self.wide_surplus[b])
+            ok[at] = most >= self.need[self.size[i[at]] + self.size[j[at]]]
+        return ok
 
-def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarray], t: Fraction) -> np.ndarray:
+
+def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarray], wide: np.ndarray, t: Fraction) -> np.ndarray:
     """Candidate pairs of records, as i * n + j with i < j.
 
     A posting (see posting) is a bucket, a record, a side (0 and 1: compared
     with each other only; 2: all within) and inner, whether the bucket lies in
     the record's short prefix; postings are ascending. Buckets of up to LEAF
     records are single leaves and are handled together by number of records;
-    greater ones get a tree.
+    greater ones get a tree. wide: second signatures of the sets that have one.
     """
     n = len(size)
     bucket = (postings >> _U(35)).astype(np.int32)
@@ -198,8 +213,9 @@ def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarr
     del bucket
     rec = ((postings >> _U(3)) & _U(0xFFFFFFFF)).astype(np.int64)
     side, inner = ((postings >> _U(1)) & _U(3)).astype(np.uint8), (postings & _U(1)).astype(bool)
-    sig = _Signatures(size, words_, t)
+    sig = _Signatures(size, words_, wide, t)
     out: list[np.ndarray] = []
+    held = 0
 
     def meet(pa_: np.ndarray, ca: tuple, ia, pb: np.ndarray, cb: tuple, ib) -> None:
         """Keep the similar ones of the pairs of postings pa_[ia], pb[ib] with their columns."""
@@ -211,8 +227,15 @@ def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarr
         sa, sb = sig.size[i], sig.size[j]
         ok = ((inner[p] & (sa <= sb)) | (inner[q] & (sb <= sa))) & ((side[p] == 2) | (side[p] != side[q])) & (i != j)
         i, j = i[ok], j[ok]
+        ok = sig.still_alike(i, j)
+        i, j = i[ok], j[ok]
         if len(i):
+            nonlocal out, held
             out.append(np.unique(np.minimum(i, j) * n + np.maximum(i, j)))
+            held += len(out[-1])
+            if held > 4 * max(_CHUNK, len(out[0])):  # a pair meets in many buckets
+                out = [np.unique(np.concatenate(out))]
+                held = len(out[0])
 
     for m in np.unique(count[(count > 1) & (count <= LEAF)]):
         s = start[count == m]
@@ -281,7 +304,9 @@ def _add_up(column: DataFrame, dtype: type, join) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["x"])
 
-    few = column.coalesce(8).mapInArrow(fold, "x binary").collect()
+    n = column.rdd.getNumPartitions()
+    part = column.coalesce(max(8, math.isqrt(n))).mapInArrow(fold, "x binary")
+    few = (part if n <= 64 else part.repartition(8).mapInArrow(fold, "x binary")).collect()
     total = None
     for r in few:
         v = np.frombuffer(zlib.decompress(r.x), dtype)
@@ -317,6 +342,8 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
                 if not len(h):
                     continue
                 bits = _bits(members, size)
+                great = size > WIDE
+                wide, wide_at = _bits(members[np.repeat(great, size)], size[great], WIDE_WORDS), np.cumsum(great) - 1
                 doc = np.repeat(np.arange(len(h)), size)
                 key = (doc.astype(_U) << _U(52)) | (rank[_cells(members)] << _U(44)) | members
                 key.sort()
@@ -346,7 +373,8 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
                     a, z = edge[p], edge[p + 1]
                     ids, k = np.unique(d[a:z], return_counts=True)
                     head = np.array([len(ids), z - a], np.int64)
-                    blobs.append(b"".join(v.tobytes() for v in (head, h[ids], bits[ids], size[ids].astype(np.int32), k.astype(np.int32), low[a:z])))
+                    large = wide[wide_at[ids[size[ids] > WIDE]]]
+                    blobs.append(b"".join(v.tobytes() for v in (head, h[ids], bits[ids], size[ids].astype(np.int32), k.astype(np.int32), low[a:z], large)))
                     ps.append(p)
                 yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
@@ -359,10 +387,10 @@ def posting(bucket: np.ndarray, rec: np.ndarray, flag: np.ndarray) -> np.ndarray
 
 
 class _Unpacker:
-    """Gathers blobs into records (hash, signature words, size), once each, and postings."""
+    """Gathers blobs into records (hash, signatures, size), once each, and postings."""
 
     def __init__(self) -> None:
-        self.parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        self.parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
 
     def add(self, blob) -> None:
         n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
@@ -370,26 +398,31 @@ class _Unpacker:
         for to, kind, k in zip(self.parts, (np.int64, _U, np.int32, np.int32, np.uint32), (n, n * SIG_WORDS, n, n, m)):
             to.append(np.frombuffer(blob, kind, k, at).copy())
             at += k * np.dtype(kind).itemsize
+        great = int((self.parts[2][-1] > WIDE).sum())
+        self.parts[5].append(np.frombuffer(blob[at:], np.uint8).view(_U).copy().reshape(great, WIDE_WORDS))
 
     def _take(self, i: int) -> np.ndarray:
         out = np.concatenate(self.parts[i])
         self.parts[i] = []
         return out
 
-    def result(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(hashes ascending, signature words, sizes, postings ascending)."""
+    def result(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes ascending, signature words, sizes, second signatures, postings ascending)."""
         uniq, first, back = np.unique(self._take(0), return_index=True, return_inverse=True)
         bits = self._take(1).reshape(-1, SIG_WORDS)
         words_ = [bits[first, w] for w in range(SIG_WORDS)]
         del bits
-        size = self._take(2)[first]
+        size = self._take(2)
+        at = (np.cumsum(size > WIDE) - 1)[first]
+        size = size[first]
+        wide = self._take(5)[at[size > WIDE]]
         rec = np.repeat(back.astype(np.uint32), self._take(3))
         low = self._take(4)
         key = posting(low >> np.uint32(3), rec, low & np.uint32(7))
         del rec, low
         key.sort()
         # the same set from two tasks: its postings are there twice
-        return uniq, words_, size, key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        return uniq, words_, size, wide, key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
 
 
 def _candidates(postings: DataFrame, parts: int, t: Fraction) -> DataFrame:
@@ -399,13 +432,13 @@ def _candidates(postings: DataFrame, parts: int, t: Fraction) -> DataFrame:
         got, some = _Unpacker(), False
         for b in batches:
             for x in b.column(1):
-                got.add(x.as_buffer())
+                got.add(memoryview(x.as_buffer()))
                 some = True
         if not some:
             return
-        h, words_, size, postings_ = got.result()
+        h, words_, size, wide, postings_ = got.result()
         del got
-        pairs = search_buckets(postings_, size, words_, t)
+        pairs = search_buckets(postings_, size, words_, wide, t)
         i, j = np.divmod(pairs, len(h))  # h is sorted, so h[i] < h[j]
         for lo in range(0, len(i), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(h[i[lo : lo + 65_536]]), pa.array(h[j[lo : lo + 65_536]])], ["a", "b"])
