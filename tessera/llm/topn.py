@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Hits that a task holds before it writes a sorted run.
 RUN_HITS = 1 << 20
+#: Rows of input that a bucket of groups is meant for.
+BUCKET_ROWS = 100_000
 
 _RUN = "bucket int, groups array<string>, starts array<int>, items array<bigint>, scores array<double>"
 
@@ -179,7 +181,7 @@ def top_n_per_group(df: DataFrame, n: int = 10, *, group: str = "query_id", item
     bucket of group, and each bucket merges its runs with a loser tree.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     src = df.select(F.col(group).alias("g"), F.col(items).alias("i"), F.col(scores).alias("s")).where("g is not null")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
