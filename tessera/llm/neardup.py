@@ -555,12 +555,12 @@ def similar_records(rows: DataFrame, owners: DataFrame, *, width: int = 5, thres
     with null, empty or short texts have no pairs.
     """
     pairs, members = similar_sets(rows, width=width, threshold=threshold, least_words=least_words)
-    rec = members.join(owners, "row_id").select("id", "set_hash").distinct()
+    rec = cut(members.join(owners, "row_id").select("id", "set_hash").distinct())
     per = rec.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
-    many = per.where(F.col("copies") > 1)
-    multi = cut(rec.join(many, "set_hash"))
-    a, b = multi.select("set_hash", F.col("id").alias("id_a"), "copies"), multi.select("set_hash", F.col("id").alias("id_b"))
-    same = a.where(F.col("copies") <= expand).join(b, "set_hash").where("id_a < id_b").select("id_a", "id_b")
+    multi = rec.join(per.where(F.col("copies") > 1), "set_hash")
+    few = multi.where(F.col("copies") <= expand)
+    a, b = few.select("set_hash", F.col("id").alias("id_a")), few.select("set_hash", F.col("id").alias("id_b"))
+    same = a.join(b, "set_hash").where("id_a < id_b").select("id_a", "id_b")
     star = multi.where((F.col("copies") > expand) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
     speak = rec.join(per, "set_hash").where((F.col("copies") <= expand) | (F.col("id") == F.col("rep"))).select("set_hash", "id")
     other = pairs.join(speak.select(F.col("set_hash").alias("a"), F.col("id").alias("x")), "a").join(speak.select(F.col("set_hash").alias("b"), F.col("id").alias("y")), "b")
