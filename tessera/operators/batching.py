@@ -20,14 +20,14 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
     ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33).cast("int")
     counts = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    first, firsts = 0, {}
+    rows, first = [], 0
     for p in sorted(counts):
-        firsts[p] = first
+        rows.append((p, first))
         first += counts[p]
-    if not firsts:
-        return ranged.withColumn(name, F.lit(0).cast("bigint")).drop("_at")
-    base = F.element_at(F.array(*[F.lit(firsts.get(p, 0)).cast("bigint") for p in range(max(firsts) + 1)]), part + 1)
-    return ranged.withColumn(name, base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    # one row per partition, so the broadcast is bounded
+    base = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _first bigint"))
+    placed = ranged.withColumn("_part", part).join(base, "_part")
+    return placed.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_first")
 
 
 def by_length(df: DataFrame, length: str = "total_len", key: str = "example_id") -> DataFrame:

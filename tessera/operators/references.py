@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id, is_blank
 
 #: A key with more than this share of all references is hot; at most 1/HOT_SHARE keys can be.
 HOT_SHARE = 1 / 64
-#: Parts into which the references of a hot key are split.
+#: Parts into which the references of a hot key, and the rows of a parent key, are split.
 SALTS = 32
 
 
@@ -33,17 +34,17 @@ def _key(c: str) -> Column:
     return F.coalesce(canonical_id(c), F.concat(F.lit("!"), F.col(c)))
 
 
-def _merged(spans: Column) -> Column:
-    """Disjoint (since, until) spans that cover the same moments; spans is an array of them."""
+def _islands(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, since, until): the spans of each key joined where they overlap or touch.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["since"].alias("since"), F.greatest(last["until"], x["until"]).alias("until"))))
-        return F.when((F.size(acc) > 0) & (x["since"] <= last["until"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    ordered = F.array_sort(spans)
-    empty = F.slice(ordered, 1, 0)
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(ordered, empty, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(step(a, x))))
+    Sorted runs and running values only, so a key with very many rows spills to
+    disk instead of growing an array.
+    """
+    order = W.partitionBy(*keys).orderBy("since", "until")
+    before = F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("since") > before, F.lit(True)).cast("int")
+    marked = rows.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return marked.groupBy(*keys, "_island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_island")
 
 
 def live_spans(parents: Sequence[Parent]) -> DataFrame:
@@ -51,7 +52,7 @@ def live_spans(parents: Sequence[Parent]) -> DataFrame:
 
     Keys that are no number, and rows without since, are live never; a null
     until is open. Rows are merged in two steps, so that a key with very many
-    rows is first thinned in parts.
+    rows is first thinned in parts; only its separate lives end up in one row.
     """
     rows = None
     forever = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
@@ -63,10 +64,10 @@ def live_spans(parents: Sequence[Parent]) -> DataFrame:
             F.coalesce(F.col(p.until).cast("timestamp_ntz"), forever).alias("until"),
         ).where("k is not null and since < until")
         rows = one if rows is None else rows.unionByName(one)
-    span = F.struct("since", "until")
-    part = F.pmod(F.xxhash64("since"), F.lit(16)).cast("int")
-    thin = rows.groupBy("ref_table", "k", part.alias("part")).agg(F.collect_set(span).alias("s")).select("ref_table", "k", _merged(F.col("s")).alias("s"))
-    return thin.groupBy("ref_table", "k").agg(F.flatten(F.collect_list("s")).alias("s")).select("ref_table", "k", _merged(F.col("s")).alias("spans"))
+    part = F.pmod(F.xxhash64("since"), F.lit(SALTS)).cast("int")
+    thin = _islands(rows.withColumn("part", part), "ref_table", "k", "part").drop("part")
+    whole = _islands(thin, "ref_table", "k")
+    return whole.groupBy("ref_table", "k").agg(F.sort_array(F.collect_list(F.struct("since", "until"))).alias("spans"))
 
 
 def references(df: DataFrame, parents: Sequence[Parent], at: str, row_id: str) -> DataFrame:
@@ -80,9 +81,9 @@ def _orphan_keys(refs: DataFrame, parents: Sequence[Parent]) -> DataFrame:
     """Distinct (ref_table, k, at) for which no span of the parent key holds at."""
     keys = refs.select("ref_table", "k", "at").distinct()
     per_key = refs.groupBy("ref_table", "k").agg(F.count("*").alias("n"))
-    total = refs.agg(F.count("*").alias("total"))
+    total = refs.agg(F.count("*")).scalar()
     # at most 1/HOT_SHARE rows by construction, so the broadcast is bounded
-    hot = F.broadcast(per_key.join(F.broadcast(total), F.col("n") > F.col("total") * HOT_SHARE).select("ref_table", "k", F.lit(True).alias("hot")))
+    hot = F.broadcast(per_key.where(F.col("n") > total * HOT_SHARE).select("ref_table", "k", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     left = keys.join(hot, ["ref_table", "k"], "left").select("ref_table", "k", "at", salt.alias("salt"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
