@@ -132,37 +132,37 @@ def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, np.ndarra
 
 
 def ivf_probe_all(spark: SparkSession, d: str) -> DataFrame:
-    """Probing at the default of 128 cells: exact while there are no more than these."""
+    """Probing of all cells, which is exact."""
     e, cells, centroids = _cells(spark, d)
-    return _rounded(I.probe(S.every_hundredth(e), cells, centroids, 10))
+    return _rounded(I.probe(S.every_hundredth(e), cells, centroids, 10, nprobe=len(centroids)))
 
 
 def ivf_index_saved(spark: SparkSession, d: str) -> DataFrame:
-    """An index written, found again, loaded and probed."""
+    """An index written, found again, loaded and probed in all cells."""
     e, cells, centroids = _cells(spark, d)
     path = shared_path(spark, "index")
     I.save_index(cells, centroids, path)
     if not I.index_exists(spark, path):
         raise RuntimeError("the index is not there")
     saved, c = I.load_index(spark, path)
-    return _rounded(I.probe(S.every_hundredth(e), saved, c, 10))
+    return _rounded(I.probe(S.every_hundredth(e), saved, c, 10, nprobe=len(c)))
 
 
 def ivf_index_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """Extension: an index filled by a stream, then probed."""
+    """Extension: an index filled by a stream, then probed in all cells."""
     e, cells, centroids = _cells(spark, d)
     path = shared_path(spark, "stream-index")
     I.save_index(cells.where("false"), centroids, path)
     rows = spark.readStream.schema(e.schema).parquet(f"{d}/embeddings.parque[t]")
     stream_into_index(rows, path, shared_path(spark, "stream-state")).awaitTermination()
     saved, c = I.load_index(spark, path)
-    return _rounded(I.probe(S.every_hundredth(e), saved, c, 10))
+    return _rounded(I.probe(S.every_hundredth(e), saved, c, 10, nprobe=len(c)))
 
 
 def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at 10 against exact search when three quarters of the cells are probed."""
+    """Recall at 10 against exact search at the share of cells that probing keeps to at any size."""
     e, cells, centroids = _cells(spark, d)
-    found = I.probe(S.every_hundredth(e), cells, centroids, 10, nprobe=max(1, -(-3 * len(centroids) // 4)))
+    found = I.probe(S.every_hundredth(e), cells, centroids, 10, nprobe=I.share_count(len(centroids)))
     return I.recall(found, S.top_k(S.every_hundredth(e), e, 10), 10)
 
 
