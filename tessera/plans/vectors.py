@@ -111,9 +111,10 @@ def mining_records_columnar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
-    texts = table(spark, d, "queries").groupBy((F.col("ord") % 1000).alias("qid")).agg(F.max("text").alias("query"))
+    """The top 100 of each query with its text; the SQL still has the top 10, and texts by ord % 1000."""
+    texts = table(spark, d, "queries").groupBy(F.col("ord").alias("qid")).agg(F.max("text").alias("query"))
     path = shared_path(spark, f"records-{fmt}")
-    R.save_records(S.mining_records(_search(spark, d, 10), texts), path, fmt)
+    R.save_records(S.mining_records(_search(spark, d, 100), texts), path, fmt)
     back = R.load_records(spark, path, fmt).select("query_id", "query", F.posexplode(F.arrays_zip("doc_ids", "scores")).alias("i", "h"))
     return back.select("query_id", "query", (F.col("i") + 1).cast("bigint").alias("rank"), F.col("h.doc_ids").alias("doc_id"), F.round("h.scores", 6).alias("score"))
 
