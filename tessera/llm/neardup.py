@@ -330,10 +330,11 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, least: int, t: Fra
                 b = whole.slice(lo, 4096)
                 n, members, size = text_sets(b.column(1).to_pylist(), width)
                 h = set_hash(members, size)
-                _, first = np.unique(h, return_index=True)
+                # a row that is too short may have the same set as one that is not
+                fit = np.flatnonzero((n >= least) & (size > 0))
+                _, first = np.unique(h[fit], return_index=True)
                 take = np.zeros(len(h), bool)
-                take[first] = True
-                take &= (n >= least) & (size > 0)
+                take[fit[first]] = True
                 take[take] = [x not in seen for x in h[take].tolist()]
                 if len(seen) > 500_000:
                     seen.clear()
