@@ -247,19 +247,20 @@ def search_buckets(postings: np.ndarray, size: np.ndarray, words_: list[np.ndarr
             meet(at, cols, (slice(None), a), at, cols, (slice(None), b))
     for s, m in zip(start[count > LEAF], count[count > LEAF]):
         at = np.arange(s, s + m)
-        halves = [at] if side[s] == 2 else [at[side[at] == 0], at[side[at] == 1]]
-        if not all(len(h) for h in halves):
-            continue
-        trees = [SignatureTree(np.arange(len(h)), size[rec[h]], np.stack([w[rec[h]] for w in words_], axis=1)) for h in halves]
-        ta, tb = trees[0], trees[-1]
-        x, y = leaf_pairs(ta, None if len(trees) == 1 else tb, t)
-        cols = [sig.columns(rec[h]) for h in halves]
-        # places of a leaf's records; a short leaf repeats its last one
-        la = ta.rec[np.minimum(ta.start[:, None] + np.arange(LEAF), ta.end[:, None] - 1)]
-        lb = tb.rec[np.minimum(tb.start[:, None] + np.arange(LEAF), tb.end[:, None] - 1)]
-        step = max(1, _CHUNK // (LEAF * LEAF))
-        for lo in range(0, len(x), step):
-            meet(halves[0], cols[0], la[x[lo : lo + step]][:, :, None], halves[-1], cols[-1], lb[y[lo : lo + step]][:, None, :])
+        # buckets of both kinds may share a name
+        for halves in ([at[side[at] == 2]], [at[side[at] == 0], at[side[at] == 1]]):
+            if not all(len(h) for h in halves):
+                continue
+            trees = [SignatureTree(np.arange(len(h)), size[rec[h]], np.stack([w[rec[h]] for w in words_], axis=1)) for h in halves]
+            ta, tb = trees[0], trees[-1]
+            x, y = leaf_pairs(ta, None if len(trees) == 1 else tb, t)
+            cols = [sig.columns(rec[h]) for h in halves]
+            # places of a leaf's records; a short leaf repeats its last one
+            la = ta.rec[np.minimum(ta.start[:, None] + np.arange(LEAF), ta.end[:, None] - 1)]
+            lb = tb.rec[np.minimum(tb.start[:, None] + np.arange(LEAF), tb.end[:, None] - 1)]
+            step = max(1, _CHUNK // (LEAF * LEAF))
+            for lo in range(0, len(x), step):
+                meet(halves[0], cols[0], la[x[lo : lo + step]][:, :, None], halves[-1], cols[-1], lb[y[lo : lo + step]][:, None, :])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
