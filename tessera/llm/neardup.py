@@ -552,7 +552,7 @@ def similar_records(rows: DataFrame, owners: DataFrame, *, width: int = 5, thres
     Records with the same set are pairs, too. A set with more than `expand`
     records is given by its representative, the record with the least id: it is
     paired with each copy, and with the representatives or records of similar
-    sets; similar_classes has the membership, so nothing is lost and the result
+    sets; similar_classes at the same width and least_words has the membership, so nothing is lost and the result
     stays in proportion to the input however many copies there are. Records
     with null, empty or short texts have no pairs.
     """

@@ -32,6 +32,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_records(*_passages(spark, sf_dir), width=3, threshold=0.5, least_words=20)
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage with its class of equal sets as p2_found takes them: class_id is the representative."""
+    return similar_classes(*_passages(spark, sf_dir), width=3, threshold=0.5, least_words=20)
+
+
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each passage with its class of equal sets, at five words and a similarity of 0.8."""
     return similar_classes(*_passages(spark, sf_dir), width=5, threshold=0.8, least_words=20)
@@ -70,7 +75,7 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
 SQL = {
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,
