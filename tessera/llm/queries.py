@@ -9,7 +9,7 @@ from tessera.functions.ids import canonical_id
 from tessera.llm.containers import fill_containers
 from tessera.llm.encode import TOKENIZER, encode_texts
 from tessera.llm.leaks import leaked_items
-from tessera.llm.neardup import record_rows, similar_classes, similar_records
+from tessera.llm.neardup import record_rows, search_report, similar_classes, similar_records
 from tessera.llm.quality import not_prose, text_statistics
 from tessera.llm.topn import top_n_per_group
 from tessera.sources.tables import table
@@ -42,6 +42,11 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(*_passages(spark, sf_dir), width=5, threshold=0.8, least_words=20)
 
 
+def p2_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the signature trees of p2_found visited, pruned and compared, by search partition."""
+    return search_report(_passages(spark, sf_dir)[0], width=3, threshold=0.5, least_words=20)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents of each query."""
     hits = table(spark, sf_dir, "search_results").select(F.coalesce(canonical_id("query_id"), "query_id").alias("query_id"), "doc_ids", "scores")
@@ -75,7 +80,7 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
 SQL = {
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,

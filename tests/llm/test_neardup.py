@@ -40,17 +40,16 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("k,t,hot", [(3, 0.5, N.HOT_BUCKET), (5, 0.8, N.HOT_BUCKET), (2, 0.5, 3)])
-def test_random_texts_equal_brute_force(spark, monkeypatch, k, t, hot):
+@pytest.mark.parametrize("k,t,hot,parts", [(3, 0.5, N.HOT_BUCKET, 1), (5, 0.8, N.HOT_BUCKET, 64), (2, 0.5, 3, 7)])
+def test_random_texts_equal_brute_force(spark, k, t, hot, parts):
     rng = random.Random(k)
     rows = list(enumerate(texts(rng, 120, [chr(97 + i) * 2 for i in range(12)])))
     rows += [(900 + i, x) for i, (_, x) in enumerate(rows[:20])] + [(990, None), (991, ""), (992, "!!!"), (993, "one")]
     first = frame(spark, [(i, 5, x) for i, x in rows] + [(i, 4, "old text of this record " * 3) for i in range(5)] + [(None, 1, rows[0][1])])
     second = frame(spark, [(1, 9, "not a record of its own " * 5), (5000, 2, rows[3][1]), (5000, 1, "older"), (5001, None, rows[4][1])])
     want = brute(rows + [(5000, rows[3][1]), (5001, rows[4][1])], k, Fraction(str(t)), 4)
-    monkeypatch.setattr(N, "LEAF", 4)
     r, owners = N.record_rows(first, second)
-    pairs, members = N.similar_sets(r.repartition(3), width=k, threshold=t, least_words=4, hot_bucket=hot)
+    pairs, members = N.similar_sets(r.repartition(3), width=k, threshold=t, least_words=4, hot_bucket=hot, parts=parts)
     rec = members.join(owners, "row_id").select("id", "set_hash").distinct().collect()
     by = {}
     for x in rec:
@@ -79,23 +78,62 @@ def test_nothing_to_compare(spark):
         assert N.similar_classes(r, o, width=3, threshold=0.5).count() == len([x for x in rows if x[2]])
 
 
-def test_trees_lose_no_pair():
+def forest_of(sets, t, tree, half):
+    size = np.array([len(x) for x in sets])
+    flat = np.array([(v * 0x9E3779B97F4A7C15) % (1 << 64) for x in sets for v in sorted(x)], np.uint64)
+    great = size > N.WIDE
+    wide = N._bits(flat[np.repeat(great, size)], size[great], N.WIDE_WORDS)
+    o = np.lexsort((size, half, tree))
+    return N.SignatureForest(N.Records(size, N._bits(flat, size), wide, t), o, tree[o], half[o])
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5)])
+def test_trees_lose_no_pair(t):
     rng = np.random.default_rng(0)
-    t = Fraction(1, 2)
-    sets = [frozenset(rng.integers(0, 60, rng.integers(1, 30)).tolist()) for _ in range(300)]
-    size = np.array([len(s) for s in sets])
-    flat = np.array([x * 7 for s in sets for x in sorted(s)], np.uint64)
-    bits = N._bits(flat, size)
-    tree = N.SignatureTree(np.arange(300), size, bits)
-    x, y = N.leaf_pairs(tree, None, t)
-    leaf = np.empty(300, int)
-    for i, (a, z) in enumerate(zip(tree.start, tree.end)):
-        leaf[tree.rec[a:z]] = i
-    kept = set(zip(x.tolist(), y.tolist()))
-    for i in range(300):
-        for j in range(i):
-            if len(sets[i] & sets[j]) * 2 >= len(sets[i] | sets[j]):
-                assert tuple(sorted((leaf[i], leaf[j]))) in kept
+    sets = [frozenset(rng.integers(0, 60, rng.integers(1, 30)).tolist()) for _ in range(300)] + [frozenset(range(k, 400)) for k in range(0, 200, 9)]
+    n = len(sets)
+    tree, half = rng.integers(0, 5, n), np.full(n, 2)
+    half[tree == 3] = np.arange((tree == 3).sum()) % 2
+    f = forest_of(sets, t, tree, half)
+    kept = {tuple(sorted((int(f.rec[a]), int(f.rec[b])))) for p, q in f.pairs() for a, b in zip(p, q)}
+    like = lambda i, j: len(sets[i] & sets[j]) * t.denominator >= len(sets[i] | sets[j]) * t.numerator
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if tree[i] == tree[j] and (half[i] == 2 or half[i] != half[j]) and like(i, j)}
+    assert len(want) > 20 and want <= kept
+    assert f.visited > 0 and all(tree[i] == tree[j] and (half[i] == 2 or half[i] != half[j]) for i, j in kept)
+
+
+def test_trees_prune_by_bits_and_sizes():
+    far = [frozenset(range(k * 1000, k * 1000 + 20)) for k in range(4) for _ in range(64)]
+    f = forest_of(far, Fraction(1, 2), np.zeros(256, int), np.full(256, 2))
+    pairs = sum(len(p) for p, _ in f.pairs())
+    assert pairs == 4 * 64 * 63 // 2 and f.pruned > 0 and f.compared < 256 * 255 // 2 * 0.6
+    sizes = [frozenset(range(10 * 3**k)) for k in range(4) for _ in range(64)]
+    f = forest_of(sizes, Fraction(1, 2), np.zeros(256, int), np.full(256, 2))
+    assert sum(len(p) for p, _ in f.pairs()) == 4 * 64 * 63 // 2 and f.compared == 4 * 64 * 63 // 2
+
+
+def test_a_text_goes_to_fewer_partitions_than_it_has_shingles():
+    rng = np.random.default_rng(1)
+    texts_ = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 5000) for _ in range(50)]
+    h, per = N.words(texts_)
+    w, c = np.unique(h, return_counts=True)
+    common = N.Ranks(w, np.minimum(1 + np.log2(c) * 8, 255).astype(np.uint8))
+    members, size, route = N.sets_of(h, per, 3, N._routes(h, per, 3, common, 255))
+    ends = np.cumsum(size)
+    routes = sum(len(np.unique(route[e - k : e])) for e, k in zip(ends, size))
+    assert routes < 0.6 * len(members)
+    # the route follows from the words alone
+    again = N.sets_of(*N.words([texts_[7]]), 3, N._routes(*N.words([texts_[7]]), 3, common, 255))
+    assert (again[2] == route[ends[6] : ends[7]]).all()
+    hot = N.sets_of(h, per, 3, N._routes(h, per, 3, common, 1))[2]
+    assert sum(len(np.unique(hot[e - k : e])) for e, k in zip(ends, size)) >= routes
+
+
+def test_report_of_the_trees(spark):
+    rng = random.Random(5)
+    rows = list(enumerate(texts(rng, 150, [chr(97 + i) * 2 for i in range(6)])))
+    got = N.search_report(spark.createDataFrame(rows, "row_id bigint, text string"), width=2, threshold=0.5, parts=2).collect()
+    assert 1 <= len(got) <= 2 and all(r.records > 0 and r.visited > 0 and r.compared >= r.kept > 0 for r in got)
 
 
 def test_equal_sets_have_equal_hashes():
