@@ -9,73 +9,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Examples that are packed together; more of them do not leave less room unused.
-BLOCK_ROWS = 500_000
+#: Examples that are packed together.
+BLOCK_ROWS = 100_000
+#: Lengths that are tried as the first of three before a gap counts as not exactly fillable.
+_TRIES = 8
 
 
-class _Stock:
-    """How many items of each length are left, with the lengths that are there in order."""
+class SumIndex:
+    """From a sum to one, two or three lengths that make it up, as far as there are items of them.
 
-    def __init__(self, counts: np.ndarray):
-        self.n = counts.astype(np.int64).copy()
+    pair and triple hold, for every sum up to the capacity, the greatest length
+    that starts a combination of two or three (0: none). Items only run out, so
+    what the index says is checked against the counts when it is used, and a
+    combination that has run out is looked for among the lengths still there.
+    """
+
+    def __init__(self, counts: np.ndarray, cap: int):
+        self.n, self.cap = counts.astype(np.int64).copy(), cap
+        self.n[0] = 0
+        self.build()
+
+    def build(self) -> None:
+        cap = self.cap
+        self.there = self.n > 0
+        lengths = np.flatnonzero(self.there)
+        self.pair, self.triple = np.zeros(cap + 1, np.int32), np.zeros(cap + 1, np.int32)
+        reach = np.zeros(cap + 1, bool)  # sums of two lengths up to x
+        upto = 0
+        for k, x in enumerate(lengths):
+            two = x + lengths[: k + 1]
+            if self.n[x] < 2:
+                two = two[:-1]
+            two = two[: np.searchsorted(two, cap, side="right")]
+            self.pair[two] = x
+            reach[two] = True
+            upto = max(upto, int(two[-1]) if len(two) else 0)
+            if upto:
+                np.copyto(self.triple[x : x + upto + 1], x, where=reach[: min(upto, cap - x) + 1])
+        self.stale = 0
+
+    def take(self, lengths: list[int], times: int = 1) -> None:
+        for x in lengths:
+            self.n[x] -= times
+            if self.n[x] <= 0:
+                self.there[x] = False
+
+    def give(self, lengths: list[int]) -> None:
+        for x in lengths:
+            self.n[x] += 1
+            self.there[x] = True
 
     def largest(self, most: int) -> int:
         """The greatest length there is, up to most; 0 if none."""
-        at = np.flatnonzero(self.n[1 : most + 1])
-        return int(at[-1]) + 1 if len(at) else 0
+        if most <= 0:
+            return 0
+        at = int(self.there[most:0:-1].argmax())
+        return most - at if self.there[most - at] else 0
 
-    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+    def two(self, total: int, most: int) -> tuple[int, int] | None:
         """Two items of the given sum, the greater one as great as can be, none above most."""
         lo, hi = (total + 1) // 2, min(most, total - 1)
         if hi < lo:
             return None
-        a = np.arange(lo, hi + 1)
-        ok = (self.n[a] > 0) & (self.n[total - a] > 0)
-        if total % 2 == 0 and self.n[total // 2] < 2:
-            ok[0] &= lo * 2 != total
-        at = np.flatnonzero(ok)
-        return (int(a[at[-1]]), total - int(a[at[-1]])) if len(at) else None
+        x = int(self.pair[total])
+        if lo <= x <= hi and self.there[x] and self.there[total - x] and (2 * x != total or self.n[x] > 1):
+            return x, total - x
+        ok = self.there[lo : hi + 1] & self.there[total - hi : total - lo + 1][::-1]
+        if 2 * lo == total and self.n[lo] < 2:
+            ok[0] = False
+        at = int(ok[::-1].argmax())
+        return (hi - at, total - hi + at) if ok[len(ok) - 1 - at] else None
 
+    def three(self, total: int, most: int) -> tuple[int, int, int] | None:
+        """Three items of the given sum, found from the greatest down."""
+        x = min(int(self.triple[total]), most)
+        for _ in range(_TRIES):
+            x = self.largest(x)
+            if 3 * x < total or not x:
+                return None
+            if self.pair[total - x]:
+                self.n[x] -= 1
+                two = self.two(total - x, x) if self.n[x] or total - x != x else None
+                if two and self.n[x] == 0 and x in two:
+                    two = None
+                self.n[x] += 1
+                if two:
+                    return (x, *two)
+            x -= 1
+        return None
 
-class _Sums:
-    """Which totals single items, pairs and triples of the lengths at hand can reach.
-
-    An index over sums (bits of a big integer): a total whose bit is off cannot
-    be reached and costs no search. Lengths only run out, so an old index errs
-    on the safe side; it is made anew when searches fail.
-    """
-
-    def __init__(self, stock: _Stock, cap: int):
-        self.mask = (1 << (cap + 1)) - 1
-        at = np.flatnonzero(stock.n)
-        self.pair = self.triple = 0
-        single = sum(1 << int(x) for x in at if x)
-        for x in at:
-            if x:
-                self.pair |= (single << int(x)) & self.mask
-        for x in at:
-            if x:
-                self.triple |= (self.pair << int(x)) & self.mask
-
-
-def _complement(stock: _Stock, sums: _Sums, gap: int) -> tuple[int, ...] | None:
-    """One, two or three items that fill gap exactly, the greatest first."""
-    if stock.n[gap] > 0:
-        return (gap,)
-    if sums.pair >> gap & 1 and (p := stock.pair(gap, gap)):
-        return p
-    if sums.triple >> gap & 1:
-        for a in np.flatnonzero(stock.n[1 : gap - 1])[::-1] + 1:
-            a = int(a)
-            if 3 * a < gap:
-                break
-            if sums.pair >> (gap - a) & 1:
-                stock.n[a] -= 1
-                p = stock.pair(gap - a, a)
-                stock.n[a] += 1
-                if p:
-                    return (a, *p)
-    return None
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three items that fill gap exactly."""
+        if self.there[gap]:
+            return (gap,)
+        got = (self.two(gap, gap) if self.pair[gap] else None) or (self.three(gap, gap) if self.triple[gap] else None)
+        if not got and (self.pair[gap] or self.triple[gap]):
+            self.stale += 1
+        return got
 
 
 def plan_patterns(counts: np.ndarray, cap: int) -> list[tuple[list[int], int]]:
@@ -85,57 +115,70 @@ def plan_patterns(counts: np.ndarray, cap: int) -> list[tuple[list[int], int]]:
     whose lengths add up to it exactly; while nothing does, the longest item
     that fits goes in. Each filling is used as often as its scarcest length
     allows, so the number of fillings follows the number of lengths, not of
-    items. Items that no exact filling takes are placed by best fit.
+    items. What no exact filling takes goes by best fit, in the order in which
+    it came up, so that the short items are still there for it. Exact fillings
+    may use up items that best fit would have used better: of the fillings
+    with exact combinations and without, those with fewer sequences are taken.
     """
-    stock = _Stock(counts)
-    sums, misses = _Sums(stock, cap), 0
+    def sequences(plan: list[tuple[list[int], int]]) -> int:
+        return sum(times for _, times in plan)
+
+    exact = _exact_fillings(counts, cap)
+    if sequences(exact) == -(-int((np.arange(cap + 1) * counts).sum()) // cap):
+        return exact
+    return min((exact, _best_fit(counts, cap)), key=sequences)
+
+
+def _exact_fillings(counts: np.ndarray, cap: int) -> list[tuple[list[int], int]]:
+    index = SumIndex(counts, cap)
     done: list[tuple[list[int], int]] = []
-    left: list[tuple[int, int]] = []
-    top = cap
-    while length := stock.largest(top):
+    top, patience = cap, 256
+    while length := index.largest(top):
         top = length
-        stock.n[length] -= 1
+        index.take([length])
         fill, gap = [length], cap - length
         while gap:
-            if rest := _complement(stock, sums, gap):
+            if rest := index.exact(gap):
                 fill += rest
+                index.take(list(rest))
                 gap = 0
-                for x in rest:
-                    stock.n[x] -= 1
                 break
-            misses += 1
-            if misses % 64 == 0:
-                sums = _Sums(stock, cap)
-            if not (x := stock.largest(gap)):
+            if not (x := index.largest(gap)):
                 break
-            stock.n[x] -= 1
+            index.take([x])
             fill.append(x)
             gap -= x
+        index.give(fill)
         kinds, k = np.unique(fill, return_counts=True)
-        stock.n[kinds] += k
-        times = int((stock.n[kinds] // k).min())
-        if gap:  # no exact filling: its longest item waits for best fit
-            left.append((length, int(stock.n[length])))
-            stock.n[length] = 0
-        else:
-            stock.n[kinds] -= k * times
-            done.append((fill, times))
-    return done + _best_fit(left, cap)
-
-
-def _best_fit(items: list[tuple[int, int]], cap: int) -> list[tuple[list[int], int]]:
+        times = int((index.n[kinds] // k).min())
+        if gap:
+            times = 1
+        for x, m in zip(kinds.tolist(), k.tolist()):
+            index.take([x], m * times)
+        done.append((fill, times))
+        if index.stale > patience:
+            index.build()
+            patience *= 16
+    return done
+
+
+def _best_fit(counts: np.ndarray, cap: int) -> list[tuple[list[int], int]]:
     """Best fit, longest first; sequences with the same content are handled together."""
     open_: dict[int, dict[tuple[int, ...], int]] = {}
-    for length, n in sorted(items, reverse=True):
+    free = np.zeros(cap + 1, bool)
+    done: list[tuple[list[int], int]] = []
+    for length in (np.flatnonzero(counts[1:])[::-1] + 1).tolist():
+        n = int(counts[length])
         while n:
-            gap = min((g for g in open_ if g >= length), default=None)
-            if gap is None:
+            at = int(free[length:].argmax())
+            gap = length + at
+            if not free[gap]:
                 each = cap // length
                 full, rest = divmod(n, each)
                 for size, times in ((each, full), (rest, 1)):
                     if size and times:
-                        at = open_.setdefault(cap - size * length, {})
-                        at[(length,) * size] = at.get((length,) * size, 0) + times
+                        open_.setdefault(cap - size * length, {})[(length,) * size] = times
+                        free[cap - size * length] = True
                 break
             content, times = next(iter(open_[gap].items()))
             fit = min(gap // length, n)
@@ -143,13 +186,15 @@ def _best_fit(items: list[tuple[int, int]], cap: int) -> list[tuple[list[int], i
             open_[gap][content] -= use
             if not open_[gap][content]:
                 del open_[gap][content]
-            if not open_[gap]:
-                del open_[gap]
-            new = content + (length,) * fit
-            at = open_.setdefault(gap - fit * length, {})
-            at[new] = at.get(new, 0) + use
+                if not open_[gap]:
+                    del open_[gap]
+                    free[gap] = False
+            new, left = content + (length,) * fit, gap - fit * length
+            to = open_.setdefault(left, {})
+            to[new] = to.get(new, 0) + use
+            free[left] = left > 0
             n -= fit * use
-    return [(list(c), t) for by in open_.values() for c, t in by.items()]
+    return done + [(list(c), t) for by in open_.values() for c, t in by.items()]
 
 
 def assign(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +219,20 @@ def assign(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, begin
 
 
+def filling_totals(filled: DataFrame, capacity: int = 2048, *, item: str = "example_id") -> DataFrame:
+    """One row on a filling: items, tokens, sequences that hold too much or overlap, and items that were cut though they fit."""
+    # all parts of a cut item but its last fill a sequence
+    wrong = (F.col("part") > 0) & (F.col("length") < 1)
+    by = filled.groupBy("seq_id").agg(
+        F.count(F.when(F.col("part") == 0, 1)).alias("items"),
+        F.sum("length").alias("used"),
+        F.max(F.col("start") + F.col("length")).alias("reach"),
+        F.count(F.when(wrong, 1)).alias("wrong"),
+    )
+    over = (F.col("used") > capacity) | (F.col("reach") != F.col("used"))
+    return by.agg(F.sum("items").alias("items"), F.sum("used").cast("bigint").alias("tokens"), F.sum("wrong").alias("wrongly_cut"), F.count(F.when(over, 1)).alias("overfull"))
+
+
 def fill_containers(df: DataFrame, length: Column, capacity: int = 2048, *, item: str = "example_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Put items into containers of fixed capacity with as little unused room as possible.
 
@@ -187,7 +246,8 @@ def fill_containers(df: DataFrame, length: Column, capacity: int = 2048, *, item
 
     Rows are spread evenly over blocks of about block_rows (no key, so nothing is
     skewed) and each block is planned from its counts by length, so the work of
-    a task is bounded and one narrow shuffle is all that moves.
+    a task is bounded and one narrow shuffle is all that moves. Each block may
+    leave a sequence or so more than the whole table would.
     """
     n = df.count()
     blocks = max(1, -(-n // block_rows))

@@ -35,7 +35,7 @@ COUNT_TOKENS = 1 << 22
 #: A bucket that may hold more records is cut into blocks that are searched pairwise in other tasks.
 HOT_BUCKET = 20_000
 #: Characters of text that a search partition is meant for.
-PART_CHARS = 16 << 20
+PART_CHARS = 8 << 20
 #: Bits (as powers of two) that the filter of candidate rows has at least and at most; it holds 16 a row up to there.
 FILTER_BITS = (16, 29)
 #: Texts that are read together, and pairs that are compared together.
@@ -592,7 +592,7 @@ def _members(rows: DataFrame, filter_: tuple[np.ndarray, int], width: int) -> Da
 def _prepared(rows: DataFrame, width: int, t: Fraction, least: int, hot: int, parts: int | None) -> tuple[DataFrame, DataFrame, int]:
     """(members, postings, search partitions) of rows."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(8, math.ceil(chars / (4 * PART_CHARS)))
+    slices = max(8, math.ceil(chars / (8 * PART_CHARS)))
     kept = _profile(rows, width, least, slices)
     common = _common(kept.where("slice is not null").select("slice", "counts"), slices)
     members = kept.where("row_id is not null and n > 0").select("row_id", "n", "set_hash")

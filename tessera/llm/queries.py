@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id
-from tessera.llm.containers import fill_containers
+from tessera.llm.containers import fill_containers, filling_totals
 from tessera.llm.encode import TOKENIZER, encode_texts
 from tessera.llm.leaks import leaked_items
 from tessera.llm.neardup import record_rows, search_report, similar_classes, similar_records
@@ -20,6 +20,11 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(table(spark, sf_dir, "tokenized_dataset"), F.col("query_len") + F.col("pos_len"), 2048)
 
 
+def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any valid filling keeps: every example and token is placed, no sequence overflows, no short example is cut."""
+    return filling_totals(p1_sequences(spark, sf_dir), 2048)
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Rows and owners of the passages of corpus, and of those that only data_doc has."""
     corpus = table(spark, sf_dir, "corpus").select(canonical_id("_id").try_cast("bigint").alias("id"), "ord", "text")
@@ -80,8 +85,9 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_sequences": p1_sequences, "p1_totals": p1_totals, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
 SQL = {
+    "p1_totals": "SELECT count(*) AS items, sum(query_len + pos_len)::bigint AS tokens, 0::bigint AS wrongly_cut, 0::bigint AS overfull FROM tokenized_dataset",
     "p3_found": """
         WITH h AS (SELECT CASE WHEN regexp_full_match(trim(query_id), '[0-9]+') THEN coalesce(nullif(ltrim(trim(query_id), '0'), ''), '0') ELSE query_id END AS query_id,
                           unnest(doc_ids) AS doc_id, unnest(scores) AS score

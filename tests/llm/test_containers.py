@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm.containers import assign, fill_containers
+from tessera.llm.containers import SumIndex, assign, fill_containers, filling_totals
 
 SCHEMA = "example_id bigint, query_len int, pos_len int, item string, len string"
 
@@ -31,6 +31,38 @@ def test_any_lengths_are_placed_without_overlap(lengths):
     assert -(-total // 64) <= n <= max(1, 2 * total // 64 + 1)
 
 
+def best_fit_decreasing(lengths, cap):
+    gaps = []
+    for x in sorted((x for x in lengths if x), reverse=True):
+        at = min((g, i) for i, g in enumerate(gaps) if g >= x)[1] if any(g >= x for g in gaps) else None
+        if at is None:
+            gaps.append(cap - x)
+        else:
+            gaps[at] -= x
+    return len(gaps)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.lists(st.integers(1, 100), max_size=150), st.lists(st.sampled_from([7, 11, 23, 34, 51, 67, 90]), max_size=200), st.lists(st.integers(20, 50), max_size=150)))
+def test_never_more_sequences_than_best_fit_decreasing(lengths):
+    assert check(lengths, 100) <= best_fit_decreasing(lengths, 100)
+
+
+def test_no_worse_than_best_fit_decreasing_on_large_mixes():
+    rng = np.random.default_rng(3)
+    for lengths, cap in ((rng.integers(1, 1001, 2000), 1000), (rng.choice([111, 333, 457, 901], 2000), 1000), (rng.integers(1, 32_769, 3000), 32_768), (rng.integers(330, 400, 2000), 1000)):
+        assert check(lengths, cap) <= best_fit_decreasing(lengths.tolist(), cap)
+
+
+def test_index_from_sums_to_combinations():
+    counts = np.bincount([3, 5, 5, 11, 20], minlength=41)
+    index = SumIndex(counts, 40)
+    assert [index.exact(g) for g in (20, 8, 10, 13, 16, 19, 36)] == [(20,), (5, 3), (5, 5), (5, 5, 3), (11, 5), (11, 5, 3), (20, 11, 5)]
+    assert index.exact(15) is None and index.exact(6) is None and index.exact(33) is None
+    index.take([5])
+    assert index.exact(10) is None and index.exact(8) == (5, 3)
+
+
 def test_exact_complements_leave_no_room():
     assert check([60, 40, 50, 30, 20, 70, 10, 20, 100], 100) == 4
     assert check([51] * 10 + [49] * 10, 100) == 10
@@ -73,3 +105,11 @@ def test_blocks_have_their_own_sequences(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_totals_of_a_filling(spark):
+    rows = [(i, i % 7, i % 5, "", "") for i in range(300)] + [(1000, 17, 8, "", "")]
+    filled = fill_containers(spark.createDataFrame(rows, SCHEMA), F.col("query_len") + F.col("pos_len"), 10)
+    r = filling_totals(filled, 10).first()
+    assert (r["items"], r.tokens, r.wrongly_cut, r.overfull) == (301, sum(a + b for _, a, b, *_ in rows), 0, 0)
+    assert filling_totals(filled.withColumn("seq_id", F.lit(0)), 10).first().overfull == 1
