@@ -24,7 +24,7 @@ from tessera.session import cut
 #: Bits of a shingle hash that a bucket goes by; two shingles of one bucket only ever cost a look at a pair.
 HASH_BITS = 44
 #: 64-bit words of a signature, and of the second signature that sets of more than WIDE members have.
-SIG_WORDS, WIDE_WORDS = 4, 16
+SIG_WORDS, WIDE_WORDS = 3, 8
 WIDE = 128
 #: Children of a node of a signature tree.
 FANOUT = 4

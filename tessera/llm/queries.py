@@ -68,6 +68,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: documents in which 12 successive words of an item stand, each up to one word from its place."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), slop=1)
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation items that leaked: task, and number of documents they leaked into."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "task")
@@ -85,7 +90,7 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_sequences": p1_sequences, "p1_totals": p1_totals, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
+QUERIES = {"p1_sequences": p1_sequences, "p1_totals": p1_totals, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_near": p6_near, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}
 SQL = {
     "p1_totals": "SELECT count(*) AS items, sum(query_len + pos_len)::bigint AS tokens, 0::bigint AS wrongly_cut, 0::bigint AS overfull FROM tokenized_dataset",
     "p3_found": """

@@ -2,7 +2,10 @@ import random
 import re
 import unicodedata
 
-from tessera.llm.leaks import PositionalIndex, Windows, leaked_items
+import numpy as np
+import pytest
+
+from tessera.llm.leaks import Shard, leaked_items, match_passages, pack_places, place_words, split_passages, store_index, unpack_places
 
 
 def words(t):
@@ -36,7 +39,7 @@ def test_random_texts_equal_brute_force(spark):
     want = brute(docs, items, 6)
     assert len(want) > 20
     assert run(spark, docs, items, width=6) == want
-    assert run(spark, docs, items, width=6, slab_chars=40) == want
+    assert run(spark, docs, items, width=6, broadcast_bytes=0, vocabulary=0) == want
 
 
 def test_a_passage_does_not_reach_over_two_documents(spark):
@@ -45,11 +48,78 @@ def test_a_passage_does_not_reach_over_two_documents(spark):
     assert run(spark, [(1, "ＯＮＥ two-three;four\nfive_six")], [(1, item)], width=6) == {(1, 1)}
 
 
+def shard_of(texts, gap=20):
+    h, at, start = place_words(texts, gap)
+    terms = np.unique(h)
+    head = __import__("zlib").compress(np.concatenate([np.arange(len(texts)), start, np.ones(len(texts), np.int64)]).astype(np.int64).tobytes())
+    return Shard(head, terms.view(np.int64), [pack_places(at[h == t]) for t in terms])
+
+
 def test_proximity_takes_moved_words():
-    w = Windows(["alpha beta gamma delta"], 4)
-    docs = ["alpha beta gamma delta", "alpha beta new gamma delta", "alpha beta x y z gamma delta", None]
-    hits = lambda slop: set(PositionalIndex(docs, w.vocabulary).matches(w, slop)[0].tolist())
-    assert hits(0) == {0} and hits(1) == {0, 1} and hits(3) == {0, 1, 2}
+    passage = place_words(["alpha beta gamma delta"], 0)[0].view(np.int64)
+    docs = ["alpha beta gamma delta", "alpha beta new gamma delta", "alpha beta x y z gamma delta", None, "gamma delta", "alpha beta"]
+    shard = shard_of(docs)
+    for anchor in range(4):
+        hits = lambda slop: set(match_passages(shard, [(passage, anchor)], 4, slop)[0].tolist())
+        assert hits(0) == {0} and hits(1) == {0, 1} and hits(3) == {0, 1, 2}
+
+
+def brute_near(docs, items, width, slop):
+    """Windows whose words all stand within slop of their place beside some occurrence of the anchor word."""
+    n = {}
+    for _, t in docs:
+        for w in words(t):
+            n[w] = n.get(w, 0) + 1
+    out = set()
+    for i, t in items:
+        v = words(t)
+        for k in range(len(v) - width + 1):
+            win = v[k : k + width]
+            if not all(w in n for w in win):
+                continue
+            a = min(range(width), key=lambda x: n[win[x]])
+            for d, text in docs:
+                u = words(text)
+                for p in (p for p, w in enumerate(u) if w == win[a]):
+                    if all(x == a or win[x] in u[max(0, p + x - a - slop) : max(0, p + x - a + slop + 1)] for x in range(width)):
+                        out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_equals_brute_force_and_stays_in_its_document(spark, slop):
+    rng = random.Random(slop)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqr") for _ in range(n))
+    items = [(i, text(12)) for i in range(6)]
+    docs = [(i, text(40)) for i in range(30)]
+    for i, t in items:
+        v = t.split()
+        v.insert(rng.randrange(3, 9), "new")
+        docs.append((100 + i, text(5) + " " + " ".join(v) + " " + text(5)))
+    docs += [(200, " ".join(items[0][1].split()[:6])), (201, " ".join(items[0][1].split()[6:]))]
+    got = run(spark, docs, items, width=8, slop=slop)
+    assert got == brute_near(docs, items, 8, slop) and len(got) >= 3 and not {d for d, _ in got} & {200, 201}
+
+
+def test_passages_cover_every_window():
+    rng = np.random.default_rng(0)
+    for n in (0, 3, 4, 5, 60):
+        terms, total = rng.integers(0, 9, n), rng.integers(0, 30, n)
+        got = split_passages(terms, total, 4)
+        windows = {k for a, z, _ in got for k in range(a, z - 3)}
+        assert windows == {k for k in range(n - 3) if total[k : k + 4].min() > 0}
+        assert all(total[x] == total[k : k + 4].min() and k <= x < k + 4 for a, z, x in got for k in range(a, z - 3))
+
+
+def test_the_index_has_every_place(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (None, "b"), (3, None), (4, "c " * 500)], "doc bigint, text string").coalesce(1)
+    index = store_index(docs, f"{tmp_path}/index", gap=10)
+    rows = {r.term: unpack_places(r.places).tolist() for r in index.collect() if r.term is not None}
+    h = dict(zip("abc", place_words(["a b c"], 0)[0].view(np.int64).tolist()))
+    assert rows == {h["a"]: [0, 2], h["b"]: [1, 13], h["c"]: [34 + i for i in range(500)]}
+    few = store_index(docs, f"{tmp_path}/few", vocabulary=np.array([h["b"]]).view(np.uint64), gap=10)
+    assert {r.term for r in few.collect()} == {None, h["b"]}
+    assert spark.read.parquet(f"{tmp_path}/few").count() == 2
 
 
 def test_empty_tables(spark):
