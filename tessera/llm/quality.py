@@ -1,4 +1,11 @@
-"""Text statistics and structural profiles of documents."""
+"""Text statistics and structural profiles of documents.
+
+Three distributions are compared with profiles by Jensen-Shannon divergence:
+the characters of a line by class, function words of each language among them,
+which tells running text in a known language from other forms; the function
+words of a document, word by word, which tells its language; and the shape of a
+paragraph's sentences, which knows running text in any other language.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import normalized, word_hashes, words
@@ -26,12 +33,32 @@ FUNCTION_WORDS = {
 CLASSES = ("function", "lower", "upper", "digit", "stop", "structure", "other")
 _STOPS = ".,?!'\"’‘“”„«»…¿¡()—–:-"
 _STRUCTURE = "|;=@_{}[]<>#*~/\\+&%$^`•·→»›"
+#: What the words of a paragraph are: first of a sentence (with a capital or in a script without), last of one, before a comma, ...
+SHAPE = ("initial", "final", "comma", "number", "name", "inner")
+_ENDS, _WIDE_ENDS, _COMMAS, _CLOSERS = ".?!\u2026\u061f\u0964", "\u3002", ",;:\u060c\u3001", "\"'\u2019\u201d\u00bb)"
+#: Labelled documents on which profiles are fitted, at most, and lines of a kind that a profile needs.
+FIT_ROWS, FIT_LINES = 5_000, 50
+#: A document is in no known language if its function words diverge more than this from those of each, in bits, or make up less than this share of its words.
+LANGUAGE_BITS, LANGUAGE_SHARE = 0.65, 0.12
 #: Lines with fewer words than this go with a longer neighbour of their paragraph.
 SHORT_LINE = 5
 #: A run of more characters than this without white space is no part of a sentence.
 LONG_RUN = 40
 
-# Fitted by fit_profiles on the labelled documents at scale 0.1; shares of CLASSES.
+# Shares of SHAPE: sentences of some 6 to 25 words, and what is not made of sentences.
+SHAPES: dict[str, tuple[float, ...]] = {
+    "sentences": (0.08, 0.08, 0.05, 0.03, 0.05, 0.71),
+    "plain_sentences": (0.08, 0.08, 0.07, 0.02, 0.0, 0.75),
+    "short_sentences": (0.15, 0.15, 0.05, 0.03, 0.05, 0.57),
+    "keywords": (0.0, 0.01, 0.49, 0.0, 0.0, 0.5),
+    "entries": (0.4, 0.4, 0.1, 0.0, 0.1, 0.0),
+    "words": (0.005, 0.005, 0.0, 0.0, 0.0, 0.99),
+    "names": (0.02, 0.0, 0.1, 0.0, 0.88, 0.0),
+    "values": (0.02, 0.1, 0.1, 0.5, 0.08, 0.2),
+    "statements": (0.0, 0.1, 0.15, 0.15, 0.0, 0.6),
+}
+
+# Where no profile is fitted on the data: fitted by fit_profiles on the labelled documents at scale 0.1; shares of CLASSES.
 PROFILES: dict[str, tuple[float, ...]] = {
     "prose_de": (0.24, 0.65, 0.052, 0.031, 0.028, 0.0, 0.0),
     "prose_de_capitals": (0.24, 0.052, 0.65, 0.031, 0.028, 0.0, 0.0),
@@ -70,10 +97,21 @@ def _char_class() -> np.ndarray:
         elif x.isdecimal():
             out[c] = 3
     out[[ord(x) for x in _STRUCTURE]] = 5
-    out[[ord(x) for x in _STOPS]] = 4
+    out[[ord(x) for x in _STOPS + _WIDE_ENDS + _ENDS + _COMMAS if x not in _STRUCTURE]] = 4
     return out
 
 
+@lru_cache(maxsize=1)
+def _caseless() -> tuple[np.ndarray, np.ndarray]:
+    """(letters of scripts without case, those that are written without spaces) by code point."""
+    n = sys.maxunicode + 1
+    no_case = np.fromiter((chr(c).isalpha() and chr(c).lower() == chr(c).upper() for c in range(n)), bool, n)
+    dense = np.zeros(n, bool)
+    for a, z in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)):
+        dense[a : z + 1] = no_case[a : z + 1]
+    return no_case, dense
+
+
 @lru_cache(maxsize=1)
 def _function_masks() -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes of all function words, bit mask of the languages of each)."""
@@ -94,10 +132,27 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum((a + b) / 2, 0)
 
 
+class Profiles:
+    """Profiles of characters by class, and of the function words of each language (in the order of _function_masks)."""
+
+    def __init__(self, classes: dict[str, tuple[float, ...]] | None = None, words_: dict[str, np.ndarray] | None = None):
+        self.classes = {**PROFILES, **(classes or {})}
+        known, mask = _function_masks()
+        self.words = {}
+        for i, g in enumerate(FUNCTION_WORDS):
+            own = (mask >> i & 1).astype(float)
+            # without data, words count the less the further down in the list they are
+            place = dict(zip(words([" ".join(FUNCTION_WORDS[g])])[0].tolist(), range(1, 1000)))
+            even = np.array([1 / place.get(int(h), 1000) ** 0.5 if o else 0.0 for h, o in zip(known, own)])
+            got = (words_ or {}).get(g)
+            self.words[g] = even / even.sum() if got is None else got
+
+
 class Lines:
     """Counts of every line of many texts: document, words, characters by class and by language of function word."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], profiles: Profiles | None = None):
+        self.profiles = profiles or Profiles()
         clean = [normalized(_EMPHASIS.sub("", t) if t and "**" in t else t) for t in texts]
         joined = "\0".join(clean)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -116,6 +171,8 @@ class Lines:
         self.words = np.bincount(word_line, minlength=n)
         self.letters = np.bincount(word_line, weights=size, minlength=n)
         self.common = np.bincount(word_line[langs > 0], minlength=n)
+        # occurrences of each function word, by line
+        self.function = (word_line[langs > 0], at[langs > 0])
         solid = kind != 255
         by = np.bincount(line[solid] * len(CLASSES) + kind[solid], minlength=n * len(CLASSES)).reshape(n, -1).astype(float)
         self.chars = by.sum(axis=1)
@@ -133,7 +190,8 @@ class Lines:
             moved[:, 0] += flat.sum(axis=1)
             self.by_lang.append(moved)
         # characters in runs too long for a word
-        edge = np.flatnonzero(np.diff(np.r_[False, solid, False]))
+        no_case, dense = _caseless()
+        edge = np.flatnonzero(np.diff(np.r_[False, solid & ~dense[cp], False]))
         a, z = edge[::2], edge[1::2]
         far = z - a > LONG_RUN
         self.run_chars = np.bincount(line[a[far]], weights=(z - a)[far], minlength=n)
@@ -144,16 +202,77 @@ class Lines:
         self.ends = np.where(last >= 0, np.isin(cp[np.maximum(last, 0)] if len(cp) else np.zeros(n, np.uint32), [ord(x) for x in ".?!:;…\"”»’"]), False)
         self.solid = last >= 0
 
+        self._shape(cp, kind, word_line, first, size, no_case, dense)
+
+    def _shape(self, cp: np.ndarray, kind: np.ndarray, word_line: np.ndarray, first: np.ndarray, size: np.ndarray, no_case: np.ndarray, dense: np.ndarray) -> None:
+        """Counts of SHAPE by paragraph (lines up to a blank one or the end of the text)."""
+        n = len(self.solid)
+        new = np.r_[True, ~self.solid[:-1] | (self.doc[1:] != self.doc[:-1])]
+        self.paragraph = np.cumsum(new) - 1
+        self.shape = np.zeros((int(self.paragraph[-1]) + 1, len(SHAPE)))
+        if not len(first):
+            return
+        after = np.r_[cp, 10, 10]
+        one, two = after[first + size], after[first + size + 1]
+        is_ = lambda x, chars: np.isin(x, [ord(c) for c in chars])
+        blank = np.r_[kind == 255, True, True]
+        gap2 = blank[first + size + 1] | is_(two, _CLOSERS + _ENDS)
+        final = (is_(one, _ENDS) & gap2) | is_(one, _WIDE_ENDS) | (is_(one, _CLOSERS) & is_(two, _ENDS + _WIDE_ENDS))
+        # a number at the start of a line numbers an entry
+        final &= ~((kind[first] == 3) & np.r_[True, word_line[1:] != word_line[:-1]])
+        # in scripts without spaces marks stand without, too
+        final |= is_(one, _ENDS) & dense[cp[first]]
+        comma = is_(one, _COMMAS) & (blank[first + size + 1] | dense[cp[first]]) & ~final
+        par = self.paragraph[word_line]
+        begins = np.r_[True, final[:-1] | (par[1:] != par[:-1])]
+        head = kind[first]
+        initial = begins & ((head == 2) | no_case[cp[first]]) & ~final
+        which = np.select([final, initial, comma, head == 3, head == 2], [1, 0, 2, 3, 4], 5)
+        self.shape = np.bincount(par * len(SHAPE) + which, minlength=self.shape.size).reshape(self.shape.shape).astype(float)
+        # a run of a script without spaces is a word for every two letters, the first of which may begin a sentence
+        run = dense[cp[first]]
+        more = np.maximum(size / 2 - 1, 0)
+        head = np.where(begins & final & run, np.minimum(more, 1), 0)
+        self.shape[:, 0] += np.bincount(par[run], weights=head[run], minlength=len(self.shape))
+        self.shape[:, 5] += np.bincount(par[run], weights=(more - head)[run], minlength=len(self.shape))
+
+    def sentences(self) -> np.ndarray:
+        """Whether each line belongs to a paragraph in the shape of sentences and is itself made of letters, in whatever language."""
+        p = self.shape / np.maximum(self.shape.sum(axis=1, keepdims=True), 1)
+        d = np.stack([divergence(p, np.array(q)) for q in SHAPES.values()], axis=1)
+        good = np.array([x.endswith("sentences") for x in SHAPES])[d.argmin(axis=1)] & (self.shape.sum(axis=1) >= SHORT_LINE) & (self.shape[:, 1] > 0)
+        c = self.by_lang[-1] / np.maximum(self.chars, 1)[:, None]
+        letters = (c[:, :3].sum(axis=1) > 0.8) & (c[:, 5] < 0.03) & (c[:, 6] < 0.05) & (c[:, 2] < 0.5)
+        return good[self.paragraph] & letters & self.solid
+
+    def languages(self) -> tuple[np.ndarray, np.ndarray]:
+        """(language of each document, divergence of its function words): the nearest of the known ones, or unknown."""
+        _, mask = _function_masks()
+        line, at = self.function
+        count = np.bincount(self.doc[line] * len(mask) + at, minlength=self.n_docs * len(mask)).reshape(self.n_docs, -1).astype(float)
+        names = np.array([*FUNCTION_WORDS, "unknown"], dtype=object)
+        d, share = [], []
+        total = self.per_doc(self.words)
+        for q in self.profiles.words.values():
+            own = count * (q > 0)
+            n = own.sum(axis=1)
+            d.append(np.where(n > 0, divergence(count / np.maximum(count.sum(axis=1), 1)[:, None], q), 1.0))
+            share.append(n / np.maximum(total, 1))
+        d, share = np.stack(d, axis=1), np.stack(share, axis=1)
+        best = d.argmin(axis=1)
+        bits, part = d[np.arange(len(d)), best], share[np.arange(len(d)), best]
+        return names[np.where((bits <= LANGUAGE_BITS) & (part >= LANGUAGE_SHARE), best, len(names) - 1)], bits
+
     def nearest(self, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(name of the nearest profile, divergence from it) for rows of character counts per language and overall."""
-        names = list(PROFILES)
+        names = list(self.profiles.classes)
         langs = list(FUNCTION_WORDS)
         best = []
         for name in names:
             g = name.split("_")
             c = counts[langs.index(g[1])] if g[0] == "prose" else counts[-1]
             p = c / np.maximum(c.sum(axis=1, keepdims=True), 1)
-            best.append(divergence(p, np.array(PROFILES[name])))
+            best.append(divergence(p, np.array(self.profiles.classes[name])))
         d = np.stack(best, axis=1)
         at = d.argmin(axis=1)
         return np.array(names, dtype=object)[at], d[np.arange(len(d)), at]
@@ -161,7 +280,7 @@ class Lines:
     def prose(self) -> np.ndarray:
         """Whether each line is running text; short lines go with a longer line right before or after them."""
         name, _ = self.nearest(self.by_lang)
-        own = np.array([x.startswith("prose") for x in name], bool) & self.solid
+        own = (np.array([x.startswith("prose") for x in name], bool) & self.solid) | self.sentences()
         long_ = self.solid & (self.words >= SHORT_LINE)
         out = own.copy()
         n = len(own)
@@ -180,9 +299,25 @@ class Lines:
         return np.stack([self.per_doc(c) for c in x.T], axis=1)
 
 
-def fit_profiles(texts: list[str], forms: list[str], langs: list[str]) -> dict[str, tuple[float, ...]]:
+def fit_words(texts: list[str], forms: list[str], langs: list[str]) -> dict[str, np.ndarray]:
+    """The function words of each language in labelled prose: their shares among all of them."""
+    got = Lines(texts)
+    line, at = got.function
+    _, mask = _function_masks()
+    form, lang = np.array(forms, dtype=object)[got.doc], np.array(langs, dtype=object)[got.doc]
+    out = {}
+    for i, g in enumerate(FUNCTION_WORDS):
+        on = (form[line] == "prose") & (lang[line] == g)
+        own = np.bincount(at[on], minlength=len(mask)) * (mask >> i & 1)
+        if own.sum() >= 20 * FIT_LINES:
+            own = own + 0.5 * (mask >> i & 1)
+            out[g] = own / own.sum()
+    return out
+
+
+def fit_profiles(texts: list[str], forms: list[str], langs: list[str], least: int = 1) -> dict[str, tuple[float, ...]]:
     """Profiles from labelled documents: the mean signature of prose lines per language, as is and in
-    capitals, and of the lines of other forms, by form and greatest class of character."""
+    capitals, and of the lines of other forms, by form and greatest class of character; each of at least `least` lines."""
     got = Lines(texts)
     form = np.array(forms, dtype=object)[got.doc]
     lang = np.array(langs, dtype=object)[got.doc]
@@ -195,7 +330,7 @@ def fit_profiles(texts: list[str], forms: list[str], langs: list[str]) -> dict[s
     for i, g in enumerate(FUNCTION_WORDS):
         rows = (form == "prose") & (lang == g) & (got.words >= SHORT_LINE) & (rate > 0.15)
         upper = got.by_lang[-1][:, 2] > got.by_lang[-1][:, 1]
-        if (rows & ~upper).any():
+        if (rows & ~upper).sum() >= least:
             m = mean(got.by_lang[i][rows & ~upper])
             out[f"prose_{g}"] = tuple(np.round(m, 3).tolist())
             out[f"prose_{g}_capitals"] = tuple(np.round(m[[0, 2, 1, 3, 4, 5, 6]], 3).tolist())
@@ -204,22 +339,46 @@ def fit_profiles(texts: list[str], forms: list[str], langs: list[str]) -> dict[s
     for f in ("list", "table", "code", "junk"):
         for k, cls in enumerate(CLASSES):
             rows = (form == f) & got.solid & (rate < 0.1) & (top == k)
-            if rows.sum() >= 8:
+            if rows.sum() >= max(8, least):
                 out[f"{f}_{cls}"] = tuple(np.round(mean(total[rows]), 3).tolist())
     # statements of code hold words that are function words elsewhere
     rows = (form == "code") & (rate >= 0.1) & (total[:, 5] > 0.03 * got.chars)
-    if rows.any():
+    if rows.sum() >= least:
         out["code_function"] = tuple(np.round(mean(total[rows]), 3).tolist())
     return out
 
 
-def _statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
-    got = Lines(texts)
+def _language(c: Column) -> Column:
+    return F.lower(F.substring(c, 1, 2))
+
+
+def fitted_profiles(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", form: str = "form", rows: int = FIT_ROWS) -> Profiles:
+    """Profiles fitted on labelled documents.
+
+    At most `rows` labels are used, chosen by hash of the key, with their whole
+    texts; that is all the driver sees. A profile for which there are fewer than
+    FIT_LINES lines keeps its default, so few or no labels do no harm.
+    """
+    some = labels.where(F.col(form).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(form).alias("form"))
+    some = some.orderBy(F.xxhash64("k"), "k", "form").limit(rows)
+    # bounded by rows
+    got = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), _language(F.col(lang)).alias("lang")).where("text is not null").join(F.broadcast(some), "k").collect()
+    if not got:
+        return Profiles()
+    texts, forms, langs = [r.text for r in got], [r.form for r in got], [r.lang for r in got]
+    return Profiles(fit_profiles(texts, forms, langs, FIT_LINES), fit_words(texts, forms, langs))
+
+
+def _statistics(texts: list[str | None], profiles: Profiles) -> dict[str, np.ndarray]:
+    got = Lines(texts, profiles)
     n_words, letters, chars = got.per_doc(got.words), got.per_doc(got.letters), got.per_doc(got.chars)
     lines = got.per_doc(got.solid.astype(float))
     total = [got.per_doc(c) for c in got.by_lang]
-    prose = got.per_doc(np.where(got.prose(), got.chars - got.run_chars, 0))
+    share = got.per_doc(np.where(got.prose(), got.chars - got.run_chars, 0)) / np.maximum(chars, 1)
     name, jsd = got.nearest(total)
+    lang, bits = got.languages()
+    # running text whose characters are near no prose profile is in the shape of sentences of another language
+    name = np.where((share >= 0.5) & ~np.array([x.startswith("prose") for x in name], bool), "prose_unknown", name)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = {
             "n_words": n_words.astype(np.int64),
@@ -228,45 +387,51 @@ def _statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
             "digit_ratio": total[-1][:, 3] / chars,
             "stop_line_share": got.per_doc((got.ends & got.solid).astype(float)) / lines,
             "common_word_share": got.per_doc(got.common) / n_words,
-            "prose_share": prose / chars,
+            "prose_share": np.where(chars > 0, share, np.nan),
         }
     out["profile"] = np.where(chars > 0, name, "blank")
+    out["language"] = np.where(chars > 0, lang, None)
     out["divergence"] = np.where(chars > 0, jsd, np.nan)
-    out["solid"] = chars
+    out["language_divergence"] = np.where(chars > 0, bits, np.nan)
     return out
 
 
-_FLOATS = ("mean_word_len", "symbol_ratio", "digit_ratio", "stop_line_share", "common_word_share", "prose_share", "divergence")
+_FLOATS = ("mean_word_len", "symbol_ratio", "digit_ratio", "stop_line_share", "common_word_share", "prose_share", "divergence", "language_divergence")
 
 
-def text_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_statistics(df: DataFrame, profiles: Profiles | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics and the nearest structural profile of each text.
 
     Columns: key (bigint), n_words (bigint), mean_word_len, symbol_ratio and
     digit_ratio (of all characters but white space), stop_line_share (lines that
     end in a sentence mark), common_word_share (function words among words),
-    prose_share (characters in lines nearest to a prose profile, runs of more than
-    LONG_RUN characters aside), profile (nearest
-    profile of the whole text, or blank) and divergence (in bits, from it). Null,
-    empty and blank texts have 0 words, the profile blank and null ratios.
-    Every row counts, also repeated ones and those with a null key; an empty
-    table gives an empty result; other columns are not read. Nothing is shuffled.
+    prose_share (characters in lines of running text, runs of more than LONG_RUN
+    characters aside: lines nearest to a prose profile, or in paragraphs in the
+    shape of sentences of any language), profile (nearest profile of the whole
+    text, prose_unknown for running text near none, or blank), divergence (in
+    bits, from it), language (whose function words are nearest, or unknown) and
+    language_divergence. Null, empty and blank texts have 0 words, the profile
+    blank and null elsewhere. Every row counts, also repeated ones and those
+    with a null key; an empty table gives an empty result; other columns are
+    not read. Nothing is shuffled. profiles: see fitted_profiles.
     """
+    sent = df.sparkSession.sparkContext.broadcast(profiles or Profiles())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                s = _statistics(b.column(1).to_pylist())
+                s = _statistics(b.column(1).to_pylist(), sent.value)
                 cols = [b.column(0), pa.array(s["n_words"], pa.int64())]
                 cols += [pa.array(s[c], pa.float64(), from_pandas=True) for c in _FLOATS]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s["profile"].tolist(), pa.string())], ["key", "n_words", *_FLOATS, "profile"])
+                cols += [pa.array(s[c].tolist(), pa.string()) for c in ("profile", "language")]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "n_words", *_FLOATS, "profile", "language"])
 
-    schema = "key bigint, n_words bigint, " + ", ".join(f"{c} double" for c in _FLOATS) + ", profile string"
+    schema = "key bigint, n_words bigint, " + ", ".join(f"{c} double" for c in _FLOATS) + ", profile string, language string"
     out = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(scan, schema)
     return out.withColumnRenamed("key", key)
 
 
-def not_prose(df: DataFrame, *, key: str = "doc_id", text: str = "text", most: float = 0.5) -> DataFrame:
+def not_prose(df: DataFrame, profiles: Profiles | None = None, *, key: str = "doc_id", text: str = "text", most: float = 0.5) -> DataFrame:
     """(key): the texts, blank ones aside, with more than `most` of their characters outside of running sentences."""
-    return text_statistics(df, key=key, text=text).where((F.col("profile") != "blank") & (1 - F.col("prose_share") > most)).select(key)
+    return text_statistics(df, profiles, key=key, text=text).where((F.col("profile") != "blank") & (1 - F.col("prose_share") > most)).select(key)

@@ -10,7 +10,7 @@ from tessera.llm.containers import fill_containers, filling_totals
 from tessera.llm.encode import TOKENIZER, encode_texts
 from tessera.llm.leaks import leaked_items
 from tessera.llm.neardup import record_rows, search_report, similar_classes, similar_records
-from tessera.llm.quality import not_prose, text_statistics
+from tessera.llm.quality import fitted_profiles, not_prose, text_statistics
 from tessera.llm.topn import top_n_per_group
 from tessera.sources.tables import table
 
@@ -82,12 +82,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are for the greater part no running text."""
-    return not_prose(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return not_prose(docs, fitted_profiles(docs, table(spark, sf_dir, "doc_labels")))
 
 
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and the nearest structural profile of every document."""
-    return text_statistics(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return text_statistics(docs, fitted_profiles(docs, table(spark, sf_dir, "doc_labels")))
 
 
 QUERIES = {"p1_sequences": p1_sequences, "p1_totals": p1_totals, "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p2_trees": p2_trees, "p3_found": p3_found, "p5_ids": p5_ids, "p6_found": p6_found, "p6_near": p6_near, "p6_report": p6_report, "p7_found": p7_found, "p7_statistics": p7_statistics}

@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.llm.quality import PROFILES, divergence, fit_profiles, not_prose, text_statistics
+from tessera.llm.quality import PROFILES, Profiles, divergence, fit_profiles, fit_words, fitted_profiles, not_prose, text_statistics
 
 PROSE = "When the river is high, we do not go to the mill, because the bridge was built for a lower water and it is not safe."
 GERMAN = "Wenn der Fluss hoch ist, gehen wir nicht zur Mühle, weil die Brücke für ein niedriges Wasser gebaut wurde und nicht sicher ist."
@@ -62,3 +62,45 @@ def test_fitting_gives_profiles_by_form():
     got = fit_profiles(texts, ["prose", "prose"] + ["list"] * 8, ["en", "de"] + ["en"] * 8)
     assert {"prose_en", "prose_de", "prose_de_capitals", "list_lower"} <= set(got)
     assert all(abs(sum(v) - 1) < 0.01 for v in got.values())
+
+
+OTHER = {
+    1: "Retrieval models differ greatly. Careful authors chose every sentence, avoiding small words. Short clauses read well.",
+    2: "Os modelos diferem muito. Eles foram treinados com textos diferentes, e os resultados mudam bastante.",
+    3: "Modele wyszukiwania bardzo się różnią. Zostały wytrenowane na wielu tekstach, a wyniki zmieniają się znacznie.",
+    4: "Модели поиска сильно различаются. Они обучены на многих текстах, и результаты заметно меняются.",
+    5: "检索模型差别很大。它们是在许多不同的文本上训练的，因此结果会有明显的变化。作者仔细选择了每一个句子。",
+    6: "I modelli di ricerca sono molto diversi. Sono stati addestrati su molti testi, e i risultati cambiano parecchio.",
+    7: "検索モデルは大きく異なる。多くの文章で学習されており、結果はかなり変わる。",
+}
+
+
+def test_prose_of_other_languages_is_no_junk(spark):
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in OTHER.items()], SCHEMA)
+    got = {r.doc_id: r for r in text_statistics(df).collect()}
+    assert all(r.profile.startswith("prose") and r.prose_share > 0.9 and r.language == "unknown" for r in got.values())
+    assert not_prose(df).collect() == []
+
+
+def test_lists_stay_lists_in_other_languages(spark):
+    rows = [(1, "1. Vinagre\n2. Moinho, lagarta\n3) Ponte\n4. Rio\n5. Farol, praia"), (2, "мост, река, мельница, вода, камень, лодка, берег, дорога"), (3, "Ponte | Rio | Farol\nPraia | Moinho | Lago"), (4, "€#Â?Ã €â?Ã? ™Â?\nÃ?Â €â#? Ã™Â")]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in not_prose(df).collect()} == {1, 2, 3, 4}
+
+
+def test_language_by_function_words(spark):
+    df = spark.createDataFrame([(1, PROSE, 0, ""), (2, GERMAN, 0, ""), (3, "crane polymer oven", 0, "")], SCHEMA)
+    assert {r.doc_id: r.language for r in text_statistics(df).collect()} == {1: "en", 2: "de", 3: "unknown"}
+
+
+def test_profiles_follow_the_labels(spark):
+    docs = spark.createDataFrame([(i, PROSE + "\n" + PROSE, "en-GB") for i in range(60)] + [(100 + i, "- noisy crane\n- modern polymer", "en") for i in range(60)] + [(500, None, "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, "r", "prose") for i in range(60)] + [(100 + i, "r", "list") for i in range(60)] + [(1, "r", None), (None, "r", "list"), (500, "r", "junk")], "doc_id bigint, rater string, form string")
+    got = fitted_profiles(docs, labels)
+    assert got.classes["prose_en"] != PROFILES["prose_en"] and got.classes["list_lower"] != PROFILES["list_lower"] and got.classes["prose_fr"] == PROFILES["prose_fr"]
+    assert abs(got.words["en"].sum() - 1) < 1e-9 and (got.words["en"] != Profiles().words["en"]).any()
+    few = fitted_profiles(docs, labels, rows=5)
+    assert few.classes == PROFILES and all((few.words[g] == w).all() for g, w in Profiles().words.items())
+    assert fitted_profiles(docs, labels.where("false")).classes == PROFILES
+    assert {r.doc_id for r in not_prose(docs, got).collect()} == set(range(100, 160))
+    assert fit_words([], [], []) == {}
