@@ -301,6 +301,8 @@ class Lines:
 
 def fit_words(texts: list[str], forms: list[str], langs: list[str]) -> dict[str, np.ndarray]:
     """The function words of each language in labelled prose: their shares among all of them."""
+    if not texts:
+        return {}
     got = Lines(texts)
     line, at = got.function
     _, mask = _function_masks()
