@@ -1,10 +1,15 @@
-"""Token ids of a corpus by byte-level BPE, by replaying merges over distinct words."""
+"""Token ids of a corpus by byte-level BPE, by replaying merges over the distinct words of the whole corpus.
+
+Texts are split once, into blocks with a dictionary of their own. The distinct
+words of all dictionaries are the vocabulary of the corpus; merges are replayed
+over it, and the ids of a word go back to the dictionaries that have it.
+"""
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import shared_path
+
 #: Where the vocabulary of byte_bpe_50k lies; a parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Characters of text that are encoded as one block.
+#: Characters of text that share a dictionary.
 BLOCK_CHARS = 8 << 20
-#: Distinct words whose ids a worker keeps from block to block.
-KEEP_WORDS = 1 << 19
+#: Distinct words that are replayed together.
+REPLAY_WORDS = 1 << 18
 
 # White space as Unicode defines it (Python's own notion also takes U+001C to U+001F).
 _SPACE = "".join(f"\\u{c:04x}" for c in range(0x10000) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
@@ -133,50 +140,103 @@ class MergeReplay:
         return [flat[kept[e - s] : kept[e]] for s, e in zip(size, end)]
 
 
-class BlockEncoder:
-    """Encodes blocks of texts; words met before are not replayed again."""
+def splitter() -> Callable[[str], list[str]]:
+    """The function that cuts a text into the words within which merges are made."""
+    import regex
 
-    def __init__(self, byte_ids: np.ndarray, merges: np.ndarray):
-        import regex
-
-        plain, exact = (regex.compile(word_pattern(x), regex.V1).findall for x in (False, True))
-        later = regex.compile(f"[{_LATER_SET}]").search
-        self.find = lambda t: plain(t) if t.isascii() or not later(t) else exact(t)
-        self.replay = MergeReplay(byte_ids, merges)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.start = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
-        """A list of ids per text; null and empty texts get an empty list."""
-        if len(self.code) > KEEP_WORDS:
-            self._forget()
-        found = [self.find(t) if t else [] for t in texts]
-        code, new = self.code, []
-        occ: list[int] = []
-        for ws in found:
-            for w in ws:
-                c = code.get(w)
-                if c is None:
-                    c = code[w] = len(code)
-                    new.append(w)
-                occ.append(c)
-        if new:
-            made = self.replay.encode(new)
-            self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(m) for m in made])]
-            self.ids = np.concatenate([self.ids, *made])
-        at = np.array(occ, np.int64)
-        first, size = self.start[at], self.start[at + 1] - self.start[at]
-        total = np.r_[0, np.cumsum(size)]
-        flat = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - first, size)] if len(at) else np.zeros(0, np.int32)
-        edge = total[np.r_[0, np.cumsum([len(ws) for ws in found])]]
-        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))
-
-
-def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer_path: str = TOKENIZER) -> DataFrame:
+    plain, exact = (regex.compile(word_pattern(x), regex.V1).findall for x in (False, True))
+    later = regex.compile(f"[{_LATER_SET}]").search
+    return lambda t: plain(t) if t.isascii() or not later(t) else exact(t)
+
+
+def split_block(find: Callable[[str], list[str]], texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words in order of appearance, number of each word of all texts, words of each text)."""
+    code: dict[str, int] = {}
+    per = np.zeros(len(texts), np.int64)
+    occ: list[int] = []
+    for i, t in enumerate(texts):
+        if t:
+            ws = find(t)
+            per[i] = len(ws)
+            occ += [code.setdefault(w, len(code)) for w in ws]
+    return list(code), np.array(occ, np.int32), per
+
+
+def spell_out(ids: np.ndarray, start: np.ndarray, code: np.ndarray, per: np.ndarray) -> pa.ListArray:
+    """The ids of each text, from those of its words: word c has ids[start[c]:start[c + 1]]."""
+    first, size = start[code], start[code + 1] - start[code]
+    total = np.r_[0, np.cumsum(size)]
+    flat = ids[np.arange(total[-1]) - np.repeat(total[:-1] - first, size)] if len(code) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(total[np.r_[0, np.cumsum(per)]], pa.int32()), pa.array(flat, pa.int32()))
+
+
+def encode_block(texts: list[str | None], find: Callable[[str], list[str]], replay: MergeReplay) -> pa.ListArray:
+    """A list of ids per text, of one block by itself."""
+    distinct, code, per = split_block(find, texts)
+    made = replay.encode(distinct)
+    ids = np.concatenate(made) if made else np.zeros(0, np.int32)
+    return spell_out(ids, np.r_[0, np.cumsum([len(m) for m in made])].astype(np.int64), code, per)
+
+
+_BLOCK = "block bigint, words array<string>, keys array<bigint>, per array<int>, codes array<int>"
+
+
+def _split(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
+    """Blocks of texts as numbers of words, each with its dictionary; written to the shared folder, as they are read twice."""
+    spark = df.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        find, block = splitter(), TaskContext.get().partitionId() << 32
+        for b in batches:
+            texts, keys = b.column(1), b.column(0)
+            size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(size) // block_chars
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    distinct, code, per = split_block(find, texts.slice(lo, hi - lo).to_pylist())
+                    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                    cols = [pa.array([block]), one(pa.array(distinct, pa.string())), one(pa.concat_arrays([keys.slice(lo, hi - lo)])), one(pa.array(per, pa.int32())), one(pa.array(code, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["block", "words", "keys", "per", "codes"])
+                    block += 1
+
+    path = shared_path(spark, "split-texts")
+    df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, _BLOCK).write.parquet(path)
+    return spark.read.schema(_BLOCK).parquet(path)
+
+
+def encode_words(vocabulary: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
+    """(word, ids) of distinct words (word string): the merge replay."""
+    merges = vocabulary.sparkSession.sparkContext.broadcast(load_merges(tokenizer_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, held, n = None, [], 0
+
+        def made() -> pa.RecordBatch:
+            ws = pa.concat_arrays(held)
+            got = replay.encode(ws.to_pylist())
+            edge = np.r_[0, np.cumsum([len(m) for m in got])]
+            return pa.RecordBatch.from_arrays([ws, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(got), pa.int32()))], ["word", "ids"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if replay is None:
+                replay = MergeReplay(*merges.value)
+            held.append(b.column(0))
+            n += b.num_rows
+            if n >= REPLAY_WORDS:
+                yield made()
+                held, n = [], 0
+        if n:
+            yield made()
+
+    return vocabulary.mapInArrow(run, "word string, ids array<int>")
+
+
+def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer_path: str = TOKENIZER, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key bigint, ids array<int>): the token ids of every row's text, without special tokens.
 
     Texts are encoded as they are; strings that look like special tokens are
@@ -184,27 +244,42 @@ def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", toke
     repeated ones and those with a null key; an empty table gives an empty
     result; other columns are not read. A text of any length is encoded whole.
 
-    Words of a text are merged independently of each other, so the replay over
-    the corpus falls into blocks of bounded size: a block's distinct words are
-    replayed once, however often they occur, and words of earlier blocks are
-    remembered up to a bound. Nothing is shuffled. The vocabulary (of fixed
-    size) is broadcast.
+    Words of a text are merged independently of each other, so a word of the
+    corpus is replayed once, however often it occurs. What is shuffled are the
+    dictionaries of blocks (each word once a block) and the texts as numbers of
+    words, once; a word in every text is one row a block and no hot key. Only
+    the tokenizer's own merges, of fixed size, are broadcast.
     """
     spark = df.sparkSession
-    vocab = spark.sparkContext.broadcast(load_merges(tokenizer_path))
+    blocks = _split(df, key, text, block_chars)
+    entries = blocks.select("block", F.posexplode("words").alias("code", "word"))
+    coded = entries.join(encode_words(entries.select("word").distinct(), tokenizer_path), "word")
+    none = F.lit(None)
+    long_ = "array<int>"
+    rows = coded.select("block", "code", "ids", none.cast("array<bigint>").alias("keys"), none.cast(long_).alias("per"))
+    # a code of null comes after the dictionary
+    rows = rows.unionByName(blocks.select("block", none.cast("int").alias("code"), F.col("codes").alias("ids"), "keys", "per"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", F.asc_nulls_last("code"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = None
+        ids: list[np.ndarray] = []
+        start: list[np.ndarray] = []
         for b in batches:
-            texts, keys = b.column(1), b.column(0)
-            if enc is None:
-                enc = BlockEncoder(*vocab.value)
-            size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-            block = np.cumsum(size) // BLOCK_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo:
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), enc.encode(texts.slice(lo, hi - lo).to_pylist())], ["key", "ids"])
+            texts = np.flatnonzero(~b.column(1).is_valid().to_numpy(zero_copy_only=False))
+            lo = 0
+            for at in [*texts.tolist(), b.num_rows]:
+                if at > lo:
+                    got = b.column(2).slice(lo, at - lo)
+                    ids.append(got.flatten().to_numpy(zero_copy_only=False))
+                    start.append(np.diff(got.offsets.to_numpy()))
+                if at < b.num_rows:
+                    code, keys, per = (b.column(i)[at].values for i in (2, 3, 4))
+                    flat, size = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ids, start))
+                    out = spell_out(flat, np.r_[0, np.cumsum(size)].astype(np.int64), code.to_numpy(), per.to_numpy())
+                    for i in range(0, len(keys), 4096):
+                        yield pa.RecordBatch.from_arrays([keys.slice(i, 4096), out.slice(i, 4096)], ["key", "ids"])
+                    ids, start = [], []
+                lo = at + 1
 
-    out = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key bigint, ids array<int>")
-    return out.withColumnRenamed("key", key)
+    return rows.mapInArrow(run, "key bigint, ids array<int>").withColumnRenamed("key", key)
