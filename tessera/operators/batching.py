@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 
-def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, *order: tuple[Column, bool] | Column, key: str, name: str = "pos") -> DataFrame:
     """df with its place (bigint from 0) in the order, found without a single-task sort.
 
-    Rows are range-partitioned and sorted; the counts of the partitions, one row
-    each, give every partition its first place. The order should be total
-    (end it with a unique column), so that hot values are split.
+    Only the columns of the order and the key, which must be unique, are sorted:
+    they are range-partitioned, and the counts of the partitions, one row each,
+    give every partition its first place. Rows get their place by a join on the
+    key. The order should be total (end it with the key), so that hot values are split.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    narrow = df.select(F.col(key).alias("_key"), *[c.alias(f"_o{i}") for i, (c, _) in enumerate(map(_parts, order))])
+    by = [F.desc_nulls_last(f"_o{i}") if down else F.asc_nulls_first(f"_o{i}") for i, (_, down) in enumerate(map(_parts, order))]
+    ranged = cut(narrow.repartitionByRange(n, *by).sortWithinPartitions(*by).select("_key", F.monotonically_increasing_id().alias("_at")))
     part = F.shiftright("_at", 33).cast("int")
     counts = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     rows, first = [], 0
@@ -25,14 +29,20 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
         rows.append((p, first))
         first += counts[p]
     # one row per partition, so the broadcast is bounded
-    base = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _first bigint"))
+    base = F.broadcast(spark.createDataFrame(rows, "_part int, _first bigint"))
     placed = ranged.withColumn("_part", part).join(base, "_part")
-    return placed.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_first")
+    placed = placed.select("_key", (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    return df.join(placed, df[key].eqNullSafe(placed["_key"])).drop("_key")
+
+
+def _parts(c: tuple[Column, bool] | Column) -> tuple[Column, bool]:
+    """(column, whether it falls) of an item of an order."""
+    return c if isinstance(c, tuple) else (c, False)
 
 
 def by_length(df: DataFrame, length: str = "total_len", key: str = "example_id") -> DataFrame:
     """df with pos, its place from the longest to the shortest row, ties by key."""
-    return with_position(df, F.desc_nulls_last(length), F.asc(key))
+    return with_position(df, (F.col(length), True), F.col(key), key=key)
 
 
 def shuffle_in_buckets(df: DataFrame, replicas: int, seed: int, *, pos: str = "pos", batches: int = 100) -> DataFrame:

@@ -39,12 +39,17 @@ def build_pairs(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, *, grad
         .select("query_id", F.col("d.doc_id").alias("positive_id"), "first_ord")
         .where("positive_id is not null")
     )
-    q = last_per_key(queries.withColumn("query_id", canonical_id("_id")), "query_id", "ord", "text").withColumnRenamed("text", "query_text")
-    d = last_per_key(corpus.withColumn("positive_id", canonical_id("_id")), "positive_id", "ord", "title", "text")
+    q = _rows_of(queries, chosen.select("query_id"), "query_id", "text").withColumnRenamed("text", "query_text")
+    d = _rows_of(corpus, chosen.select("positive_id").distinct(), "positive_id", "title", "text")
     d = d.select("positive_id", title_or_none("title").alias("positive_title"), F.col("text").alias("positive_text"))
     return chosen.join(q, "query_id").join(d, "positive_id").select("query_id", "query_text", "positive_id", "positive_title", "positive_text", "first_ord")
 
 
+def _rows_of(df: DataFrame, ids: DataFrame, key: str, *values: str) -> DataFrame:
+    """The last row of df of each of the ids, by canonical id: rows that are not asked for are left before anything of them is shuffled by key."""
+    return last_per_key(df.withColumn(key, canonical_id("_id")).join(ids, key, "left_semi"), key, "ord", *values)
+
+
 def referenced_corpus(corpus: DataFrame, qrels: DataFrame, grade: int = 1) -> DataFrame:
     """The rows of corpus that a judgement of the grade refers to."""
     ids = graded(qrels, grade).select(F.col("doc_id").alias("_ref")).where("_ref is not null").distinct()

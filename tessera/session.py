@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def build_session(app: str = "tessera", cpus: int | None = None) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -29,26 +32,41 @@ def build_session(app: str = "tessera", cpus: int | None = None) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) is a local folder taken.
+    Only a session on one machine (tests, a laptop) may do without: it gets a
+    temporary folder, removed at its end. On a cluster a folder of one machine
+    would lose data silently, so there a missing setting is a ValueError.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder there that all executors share")
+        named = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        atexit.register(shutil.rmtree, named, True)
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage.
 
-    Files survive the loss of an executor, unlike a local checkpoint.
+    Files survive the loss of an executor, unlike a local checkpoint. They are
+    removed once the result is no longer referred to, where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints (build_session sets it).
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, stem: str) -> str:
-    """A fresh path under the shared folder, for tables that are written and read again."""
+    """A fresh path under the shared folder, for tables that are written and read again; removed when the session ends."""
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{stem}-{uuid.uuid4().hex}"
+    path = f"{base}/{stem}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(there)  # only what exists can be marked
+    fs.deleteOnExit(there)
+    fs.delete(there, True)
+    return path
