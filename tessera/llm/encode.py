@@ -178,7 +178,7 @@ def encode_block(texts: list[str | None], find: Callable[[str], list[str]], repl
     return spell_out(ids, np.r_[0, np.cumsum([len(m) for m in made])].astype(np.int64), code, per)
 
 
-_BLOCK = "block bigint, words array<string>, keys array<bigint>, per array<int>, codes array<int>"
+_BLOCK = "block bigint, words array<string>, keys binary, per binary, codes binary"
 
 
 def _split(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
@@ -197,9 +197,11 @@ def _split(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
                     distinct, code, per = split_block(find, texts.slice(lo, hi - lo).to_pylist())
-                    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-                    cols = [pa.array([block]), one(pa.array(distinct, pa.string())), one(pa.concat_arrays([keys.slice(lo, hi - lo)])), one(pa.array(per, pa.int32())), one(pa.array(code, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(cols, ["block", "words", "keys", "per", "codes"])
+                    own = keys.slice(lo, hi - lo)
+                    there = own.is_valid().to_numpy(zero_copy_only=False)
+                    both = np.stack([own.fill_null(0).to_numpy(zero_copy_only=False), there.astype(np.int64)])
+                    cols = [pa.array([x.tobytes()], pa.binary()) for x in (both, per.astype(np.int32), code)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([distinct], pa.list_(pa.string())), *cols], ["block", "words", "keys", "per", "codes"])
                     block += 1
 
     path = shared_path(spark, "split-texts")
@@ -208,7 +210,7 @@ def _split(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
 
 
 def encode_words(vocabulary: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
-    """(word, ids) of distinct words (word string): the merge replay."""
+    """(word, ids) of distinct words (word string): the merge replay. ids are the bytes of 32-bit numbers."""
     merges = vocabulary.sparkSession.sparkContext.broadcast(load_merges(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +219,7 @@ def encode_words(vocabulary: DataFrame, tokenizer_path: str = TOKENIZER) -> Data
         def made() -> pa.RecordBatch:
             ws = pa.concat_arrays(held)
             got = replay.encode(ws.to_pylist())
-            edge = np.r_[0, np.cumsum([len(m) for m in got])]
-            return pa.RecordBatch.from_arrays([ws, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(got), pa.int32()))], ["word", "ids"])
+            return pa.RecordBatch.from_arrays([ws, pa.array([m.tobytes() for m in got], pa.binary())], ["word", "ids"])
 
         for b in batches:
             if not b.num_rows:
@@ -233,7 +234,7 @@ def encode_words(vocabulary: DataFrame, tokenizer_path: str = TOKENIZER) -> Data
         if n:
             yield made()
 
-    return vocabulary.mapInArrow(run, "word string, ids array<int>")
+    return vocabulary.mapInArrow(run, "word string, ids binary")
 
 
 def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer_path: str = TOKENIZER, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -254,32 +255,33 @@ def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", toke
     blocks = _split(df, key, text, block_chars)
     entries = blocks.select("block", F.posexplode("words").alias("code", "word"))
     coded = entries.join(encode_words(entries.select("word").distinct(), tokenizer_path), "word")
-    none = F.lit(None)
-    long_ = "array<int>"
-    rows = coded.select("block", "code", "ids", none.cast("array<bigint>").alias("keys"), none.cast(long_).alias("per"))
+    none = F.lit(None).cast("binary")
+    rows = coded.select("block", "code", "ids", none.alias("keys"), none.alias("per"))
     # a code of null comes after the dictionary
-    rows = rows.unionByName(blocks.select("block", none.cast("int").alias("code"), F.col("codes").alias("ids"), "keys", "per"))
+    rows = rows.unionByName(blocks.select("block", F.lit(None).cast("int").alias("code"), F.col("codes").alias("ids"), "keys", "per"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(n, "block").sortWithinPartitions("block", F.asc_nulls_last("code"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        start: list[np.ndarray] = []
+        flat: list[bytes] = []
+        size: list[np.ndarray] = []
         for b in batches:
             texts = np.flatnonzero(~b.column(1).is_valid().to_numpy(zero_copy_only=False))
             lo = 0
             for at in [*texts.tolist(), b.num_rows]:
                 if at > lo:
                     got = b.column(2).slice(lo, at - lo)
-                    ids.append(got.flatten().to_numpy(zero_copy_only=False))
-                    start.append(np.diff(got.offsets.to_numpy()))
+                    flat += got.to_pylist()
+                    size.append(pc.binary_length(got).to_numpy() // 4)
                 if at < b.num_rows:
-                    code, keys, per = (b.column(i)[at].values for i in (2, 3, 4))
-                    flat, size = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ids, start))
-                    out = spell_out(flat, np.r_[0, np.cumsum(size)].astype(np.int64), code.to_numpy(), per.to_numpy())
+                    code, per = (np.frombuffer(b.column(i)[at].as_py(), np.int32) for i in (2, 4))
+                    key, there = np.frombuffer(b.column(3)[at].as_py(), np.int64).reshape(2, -1)
+                    keys = pa.array(key, mask=there == 0)
+                    start = np.r_[0, np.cumsum(np.concatenate(size) if size else [])].astype(np.int64)
+                    out = spell_out(np.frombuffer(b"".join(flat), np.int32), start, code, per)
                     for i in range(0, len(keys), 4096):
                         yield pa.RecordBatch.from_arrays([keys.slice(i, 4096), out.slice(i, 4096)], ["key", "ids"])
-                    ids, start = [], []
+                    flat, size = [], []
                 lo = at + 1
 
     return rows.mapInArrow(run, "key bigint, ids array<int>").withColumnRenamed("key", key)
