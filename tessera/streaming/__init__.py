@@ -12,8 +12,9 @@ from tessera.operators.index import append_index
 def stream_into_index(rows: DataFrame, index_path: str, checkpoint: str, *, key: str = "vec_id", vector: str = "embedding") -> StreamingQuery:
     """Append streamed vectors to a saved index, batch by batch, until the source is used up."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_index(batch, index_path, key=key, vector=vector)
+    def add(batch: DataFrame, number: int) -> None:
+        # batch 0 of an index is what it was built from; a batch that is tried again replaces itself
+        append_index(batch, index_path, number + 1, key=key, vector=vector)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
