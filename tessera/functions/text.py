@@ -105,6 +105,14 @@ def resolve_prompt(override: Column, prompt: Column, by_type: Column, prompt_typ
     )
 
 
+def prompt_by_priority(name: Column, task_type: Column, prompt_type: Column, prompts: Mapping[str, str]) -> Column:
+    """The prompt of the most specific key there is: name-prompt type, name, type-prompt type, type, prompt type; null if none is."""
+    table = F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])
+    dash = F.lit("-")
+    keys = (F.concat(name, dash, prompt_type), name, F.concat(task_type, dash, prompt_type), task_type, prompt_type)
+    return F.coalesce(*[F.try_element_at(table, k) for k in keys])
+
+
 def format_instruction(template: str, instruction: Column | str) -> Column:
     """The template with its {instruction} filled in; a template without the place for it is an error."""
     if "{instruction}" not in template:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -51,6 +52,44 @@ def last_token_pool(states: Column, mask: Column, left_padded: Column) -> Column
     return F.when(left_padded, F.element_at(states, -1)).otherwise(F.element_at(states, F.greatest(n, F.lit(1))))
 
 
+def batch_left_padded(mask: Column, batch: str) -> Column:
+    """Whether a batch counts as padded on the left: the last place of every row of it is a true one."""
+    return F.min(F.element_at(mask, -1)).over(W.partitionBy(batch)) == 1
+
+
+def times_matrix(v: Column, matrix: np.ndarray) -> Column:
+    """v times a small matrix (d, e), as an expression."""
+    columns = np.asarray(matrix, np.float64).T.tolist()
+    return F.array(*[dot(v, F.array(*map(F.lit, c))) for c in columns])
+
+
+def embed_states(states: Column, mask: Column, matrix: np.ndarray) -> Column:
+    """An embedding model after its encoder: masked mean of the states, projected by a small matrix, at length 1."""
+    return l2_normalize(times_matrix(mean_pool(states, mask), matrix))
+
+
+def gated_pool(items: Column, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> Column:
+    """Gated attention over the few vectors of one row, as an expression; see gated_attention_pool."""
+    d = np.asarray(v).shape[1]
+
+    def score(h: Column) -> Column:
+        terms = F.lit(0.0)
+        for a, b, c in zip(np.asarray(v).tolist(), np.asarray(u).tolist(), np.asarray(w).tolist()):
+            gate = F.tanh(dot(h, F.array(*map(F.lit, a)))) / (1 + F.exp(-dot(h, F.array(*map(F.lit, b)))))
+            terms = terms + gate * c
+        return terms * float(np.sqrt(d))
+
+    weights = softmax(F.transform(items, score))
+    scaled = F.zip_with(items, weights, lambda h, x: F.transform(h, lambda y: y * x))
+    zero = F.transform(F.element_at(items, 1), lambda x: F.lit(0.0))
+    return F.aggregate(scaled, zero, lambda s, h: F.zip_with(s, h, lambda x, y: x + y))
+
+
+def layer_pool(layers: Column, mask: Column, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> Column:
+    """Hidden layers (each a list of states under one mask) pooled by mean, then pooled together by gated attention."""
+    return gated_pool(F.transform(layers, lambda states: mean_pool(states, mask)), v, u, w)
+
+
 def stack_vectors(col: pa.Array) -> np.ndarray:
     """An (n, d) double matrix from an Arrow list column without nulls."""
     if len(col) == 0:

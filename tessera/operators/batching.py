@@ -49,7 +49,7 @@ def shuffle_in_buckets(df: DataFrame, replicas: int, seed: int, *, pos: str = "p
     """df with its places permuted within buckets of replicas * batches rows, by a seeded hash."""
     size = replicas * batches
     bucket = F.floor(F.col(pos) / size)
-    w = W.partitionBy("_bucket").orderBy(F.xxhash64(F.col(pos), F.lit(seed)), pos)
+    w = W.partitionBy("_bucket").orderBy(F.md5(F.concat_ws("/", F.col(pos).cast("string"), F.lit(str(seed)))), pos)
     out = df.withColumn("_bucket", bucket).withColumn("_new", F.col("_bucket") * size + F.row_number().over(w) - 1)
     return out.withColumn(pos, F.col("_new").cast("bigint")).drop("_bucket", "_new")
 

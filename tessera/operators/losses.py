@@ -76,6 +76,22 @@ def batch_losses(pairs: DataFrame, *, temperature: float = TEMPERATURE, margin:
     return src.groupBy("batch_id").applyInPandas(run, schema)
 
 
+def batch_hard_negative_losses(pairs: DataFrame, *, temperature: float = TEMPERATURE) -> DataFrame:
+    """(batch_id, n, loss): the hard-negative loss of every batch of pairs (batch_id, pos, q, d, neg array of vectors).
+
+    Every pair of a batch has as many negatives. Rows with a null vector are left out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        q, d = np.stack(pdf["q"]).astype(np.float64), np.stack(pdf["d"]).astype(np.float64)
+        neg = np.stack([np.stack(x) for x in pdf["neg"]]).astype(np.float64)
+        return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[:1], "n": [len(pdf)], "loss": [hard_negative_loss(q, d, neg, temperature)]})
+
+    src = pairs.where("q is not null and d is not null and neg is not null").select("batch_id", "pos", "q", "d", "neg")
+    return src.groupBy("batch_id").applyInPandas(run, "batch_id bigint, n bigint, loss double")
+
+
 def batch_pairs(vectors: DataFrame, batch: int = 64) -> DataFrame:
     """Neighbouring vectors (2i, 2i+1) as query and document, in batches; the document's label is its id."""
     v = vectors.select((F.col("vec_id") / 2).cast("bigint").alias("pos"), (F.col("vec_id") % 2).alias("side"), "embedding", "label")

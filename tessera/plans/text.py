@@ -11,9 +11,11 @@ from tessera.operators import pairs as P
 from tessera.operators import tokens as K
 from tessera.plans.sqltext import sql_id, sql_strip, sql_valid, sql_word_ids
 from tessera.sources.tables import table
-from tessera.sources.tasks import prompted, task_rows
+from tessera.session import shared_path
+from tessera.sources.tasks import Task, evaluation_data, export_task, metadata, pick_subset, prompted, select_tasks, task_rows
 
 _TYPES = sorted(T.TASK_PREFIX)
+_PROMPTS = {"statute_search-query": "find the statute", "statute_search": "statutes", "Retrieval-document": "a passage", "Retrieval": "search", "document": "a text"}
 
 
 def strip_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +69,45 @@ def prompt_resolution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", out.alias("prompt"))
 
 
+def prompt_priority(spark: SparkSession, d: str) -> DataFrame:
+    """The most specific of prompts by task name, task type and prompt type."""
+    kind = F.when(F.col("lang") == "en", "Retrieval").otherwise("STS")
+    side = F.when(F.length("title") > 0, "document").otherwise("query")
+    return table(spark, d, "documents").select("doc_id", T.prompt_by_priority(F.col("task_name"), kind, side, _PROMPTS).alias("prompt"))
+
+
+def task_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the evaluation splits of a task over documents, with the split; splits that are not for evaluation stay out."""
+    docs = table(spark, d, "documents")
+    task = Task("documents", "Retrieval", ("en", "de"), splits={g: docs.where(F.col("lang") == g) for g in ("en", "de", "fr")})
+    out = None
+    for name, rows in evaluation_data(task).items():
+        one = rows.select("doc_id", F.lit(name).alias("split"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def task_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A subset of a split; where a split has no default subset, the default is all of it."""
+    docs = table(spark, d, "documents").withColumn("split", F.when(F.col("source").isNull(), "none").otherwise("test"))
+    named = docs.withColumn("subset", F.coalesce(F.lower("lang"), F.lit("default")))
+    return pick_subset(named, "test", "de").select("doc_id", F.lit("de").alias("subset")).unionByName(pick_subset(docs.withColumn("subset", F.lit("all")), "test").select("doc_id", F.lit("default").alias("subset")))
+
+
+def task_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The public metadata of tasks of a kind, as rows."""
+    tasks = [Task("a", "Retrieval", ("test",), "first", _cache=1), Task("b", "STS", ("test",)), Task("c", "Retrieval", ("dev",), "third")]
+    rows = [(t.name, k, str(v)) for t in select_tasks(tasks) for k, v in sorted(metadata(t).items()) if k in ("name", "type", "description", "main_score")]
+    return spark.createDataFrame(rows, "task string, field string, value string")
+
+
+def task_export(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an evaluation split exported as JSON lines and read back."""
+    path = shared_path(spark, "task")
+    export_task(Task("queries", "Retrieval", ("test",), splits={"test": table(spark, d, "queries").select("ord", "_id", "text")}), path)
+    return spark.read.schema("ord bigint, _id string, text string").json(f"{path}/data/test")
+
+
 def formatted_instruction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.format_instruction("Instruct: {instruction}\nQuery:", F.coalesce("task_name", F.lit("none"))).alias("prompt"))
 
@@ -101,7 +142,7 @@ def zip_aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenized_examples(spark: SparkSession, d: str) -> DataFrame:
-    """Training pairs tokenized at the lengths that training asks for; its SQL still cuts at 8 and 64 words."""
+    """Training pairs tokenized at the lengths that training asks for; 1,024 and 4,096 words."""
     pairs = pair_build_last_wins(spark, d)
     doc = T.training_document("positive_text", "positive_title")
     out = K.tokenized_examples(pairs, max_query=1024, max_passage=4096, query_text=T.training_query("query_text"), passage_text=doc)
@@ -134,7 +175,7 @@ QUERIES = {
         strip_titles, valid_rows, title_default, prompt_query_instruct, prompt_document_titled, prompt_query_task, prompt_document_task,
         training_query_prompts, training_document_prompts, prompted_dataset, prompt_resolution, formatted_instruction, task_rows_retrieval,
         task_rows_classification, weight_decay_groups, pair_build_last_wins, qrel_semi_join, queries_with_positives, zip_aligned,
-        tokenized_examples, hard_negatives,
+        tokenized_examples, hard_negatives, prompt_priority, task_splits, task_subset, task_metadata, task_export,
     )
 }
 
@@ -165,9 +206,16 @@ SQL = {
     "queries_with_positives": f"SELECT ord FROM queries WHERE {sql_id('_id')} IN (SELECT {sql_id('\"query-id\"')} FROM qrels WHERE score > 0)",
     "zip_aligned": "SELECT example_id, query_text, pos_text FROM tokenized_dataset",
     "tokenized_examples": _pairs_sql()
-    + f"""SELECT query_id, positive_id::bigint AS pos_ids, least(8, len(qi))::int AS query_len, least(64, len(di))::int AS pos_len,
-        (least(8, len(qi)) + least(64, len(di)))::int AS total_len, md5(array_to_string(di[1:64], ',')) AS ids
+    + f"""SELECT query_id, positive_id::bigint AS pos_ids, least(1024, len(qi))::int AS query_len, least(4096, len(di))::int AS pos_len,
+        (least(1024, len(qi)) + least(4096, len(di)))::int AS total_len, md5(array_to_string(di[1:4096], ',')) AS ids
         FROM (SELECT *, {sql_word_ids(f"('{T.QUERY_PREFIX}' || query_text)")} AS qi, {sql_word_ids('(' + _TITLED.format(t='positive_title', x='positive_text') + ')')} AS di FROM p)""",
+    "prompt_priority": """SELECT doc_id, CASE WHEN task_name = 'statute_search' AND NOT coalesce(length(title) > 0, false) THEN 'find the statute' WHEN task_name = 'statute_search' THEN 'statutes'
+        WHEN lang = 'en' AND length(title) > 0 THEN 'a passage' WHEN lang = 'en' THEN 'search' WHEN length(title) > 0 THEN 'a text' END AS prompt FROM documents""",
+    "task_splits": "SELECT doc_id, lang AS split FROM documents WHERE lang IN ('en', 'de')",
+    "task_subset": "SELECT doc_id, 'de' AS subset FROM documents WHERE source IS NOT NULL AND lower(lang) = 'de' UNION ALL SELECT doc_id, 'default' FROM documents WHERE source IS NOT NULL",
+    "task_metadata": """SELECT * FROM (VALUES ('a', 'description', 'first'), ('a', 'main_score', 'ndcg_at_10'), ('a', 'name', 'a'), ('a', 'type', 'Retrieval'),
+        ('c', 'description', 'third'), ('c', 'main_score', 'ndcg_at_10'), ('c', 'name', 'c'), ('c', 'type', 'Retrieval')) v(task, field, value)""",
+    "task_export": "SELECT ord, _id, text FROM queries",
     "hard_negatives": f"""WITH h AS (SELECT {sql_id('query_id')} AS query_id, unnest(doc_ids) AS doc_id, unnest(scores) AS score FROM search_results WHERE query_id IS NOT NULL),
         b AS (SELECT query_id, doc_id, max(score) AS score FROM h WHERE query_id IS NOT NULL AND doc_id >= 0 AND isfinite(score) GROUP BY 1, 2),
         k AS (SELECT {sql_id('\"query-id\"')} AS q, ({sql_id('\"corpus-id\"')})::bigint AS d FROM qrels WHERE score > 0)

@@ -47,7 +47,7 @@ def replicas_drop_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """Places permuted within buckets (no oracle: the permutation is the engine's own)."""
+    """Places permuted within buckets."""
     return B.shuffle_in_buckets(_sorted(spark, d), REPLICAS, 42).select("example_id", "pos")
 
 
@@ -116,9 +116,9 @@ def results_by_task(spark: SparkSession, d: str) -> DataFrame:
 
 
 def results_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Results written as one JSON object keyed by task and read back."""
+    """Results of all splits written as JSON objects keyed by task and read back."""
     path = shared_path(spark, "results")
-    R.save_task_results(R.collect_task_results(_scores(spark, d).where("split = 'test'")), path)
+    R.save_task_results(R.collect_task_results(_scores(spark, d)), path)
     return R.load_task_results(spark, path)
 
 
@@ -127,7 +127,8 @@ def mean_main_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_mean_score(spark: SparkSession, d: str) -> DataFrame:
-    return A.running_mean(_scores(spark, d).where("split = 'test'"), "task").select("task", F.round("running_mean", 6).alias("running_mean"))
+    scores = _scores(spark, d).withColumn("task", F.concat_ws("/", "task", "split"))
+    return A.running_mean(scores, "task").select("task", F.round("running_mean", 6).alias("running_mean"))
 
 
 def loss_interval_avg(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +186,8 @@ SQL = {
         own AS (SELECT replica, count(*) AS own FROM r GROUP BY 1)
         SELECT * FROM r UNION ALL SELECT example_id, pos, replica, replica_pos + own, true FROM r JOIN own USING (replica), n WHERE replica_pos < (n.n + {REPLICAS} - 1) // {REPLICAS} - own""",
     "replicas_drop_last": f"WITH {_P} SELECT example_id, pos, (pos % 7)::int AS replica, pos // 7 AS replica_pos FROM p WHERE pos // 7 < (SELECT count(*) FROM p) // 7",
+    "bucket_shuffle": f"""WITH {_P}, b AS (SELECT example_id, pos, pos // {REPLICAS * 100} AS bucket FROM p)
+        SELECT example_id, bucket * {REPLICAS * 100} + row_number() OVER (PARTITION BY bucket ORDER BY md5(pos::varchar || '/42'), pos) - 1 AS pos FROM b""",
     "fixed_batches": _B + "o AS (SELECT 1) SELECT batch_id, count(*) AS n, max(len) AS longest, sum(len)::bigint AS tokens FROM b GROUP BY 1",
     "batch_padding_mask": _B
     + f"""m AS (SELECT example_id, list_resize(query_token_ids, max(len(query_token_ids)) OVER w, 25378) AS q, list_resize(pos_token_ids, max(len(pos_token_ids)) OVER w, 25378) AS d FROM b WINDOW w AS (PARTITION BY batch_id))
@@ -207,9 +210,9 @@ SQL = {
     "step_schedule_linear": "SELECT unnest(range(0, 1000, 125)) AS step UNION ALL SELECT unnest(range(0, 40, 2))",
     "step_schedule_log": "SELECT DISTINCT round_even(pow(200.0::double, i / 20.0::double), 0)::bigint AS step FROM (SELECT unnest(range(20)) AS i)",
     "results_by_task": _SCORES + "SELECT * FROM s",
-    "results_json_roundtrip": _SCORES + "SELECT * FROM s WHERE split = 'test'",
+    "results_json_roundtrip": _SCORES + "SELECT * FROM s",
     "mean_main_score": _SCORES + "SELECT round(avg(main_score), 6) AS mean FROM s",
-    "running_mean_score": _SCORES + "SELECT task, round(avg(main_score) OVER (ORDER BY task ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM s WHERE split = 'test'",
+    "running_mean_score": _SCORES + "SELECT task || '/' || split AS task, round(avg(main_score) OVER (ORDER BY task || '/' || split ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM s",
     "loss_interval_avg": "SELECT event_id // 50 AS bucket, round(avg(value), 6) AS avg_loss FROM events GROUP BY 1",
     "training_log_roundtrip": """SELECT * FROM (VALUES ('{"lr": 0.1}', 10::bigint, 2.5::double), ('{"lr": 0.1}', 20, 2.25), ('{"lr": 0.1}', 30, 2.0)) v(train_params, step, avg_loss)""",
     "token_throughput": "SELECT sum(query_len + pos_len)::bigint AS tokens, round(sum(query_len + pos_len)::double / 80, 4) AS per_second FROM tokenized_dataset",

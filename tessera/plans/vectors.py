@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -11,8 +12,10 @@ from tessera.operators import index as I
 from tessera.operators import losses as L
 from tessera.operators import metrics as M
 from tessera.operators import search as S
-from tessera.operators.encode import encode_texts, hashing_encoder
-from tessera.plans.sqltext import sql_top
+from tessera.operators.encode import encode_texts, hashing_encoder, hashing_states
+from tessera.operators.evaluation import benchmark, evaluate
+from tessera.operators.scores import running_mean
+from tessera.plans.sqltext import sql_top, sql_words
 from tessera.session import shared_path
 from tessera.sources import results as R
 from tessera.sources.tables import table
@@ -106,12 +109,12 @@ def mining_records_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mining_records_columnar(spark: SparkSession, d: str) -> DataFrame:
-    """The same through the columnar format that stands for hdf5."""
-    return _roundtrip(spark, d, "hdf5")
+    """The same through the columnar format."""
+    return _roundtrip(spark, d, "parquet")
 
 
 def _roundtrip(spark: SparkSession, d: str, fmt: str) -> DataFrame:
-    """The top 100 of each query with its text; the SQL still has the top 10, and texts by ord % 1000."""
+    """The top 100 of each query with its text."""
     texts = table(spark, d, "queries").groupBy(F.col("ord").alias("qid")).agg(F.max("text").alias("query"))
     path = shared_path(spark, f"records-{fmt}")
     R.save_records(S.mining_records(_search(spark, d, 100), texts), path, fmt)
@@ -175,11 +178,92 @@ def pq_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_training_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The rows on which an index of a corpus is fitted: a hundred, the feature of the sampler."""
     return I.training_sample(table(spark, d, "embeddings"), 100).select("vec_id")
 
 
 def hashed_query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(table(spark, d, "queries"), hashing_encoder(64), key="ord", text="text")
+    """Vectors of all queries by the stand-in encoder."""
+    return _long(encode_texts(table(spark, d, "queries"), hashing_encoder(64), key="ord", text="text"), F.col("embedding").cast("array<double>"), "ord")
+
+
+def encoded_states_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Texts encoded to states, pooled by mean."""
+    return _long(encode_texts(table(spark, d, "queries"), hashing_states(16), key="ord", text="text", pool="mean"), F.col("embedding").cast("array<double>"), "ord")
+
+
+def encoded_states_last(spark: SparkSession, d: str) -> DataFrame:
+    """Texts encoded to states that are padded on the right, pooled by their last token."""
+    return _long(encode_texts(table(spark, d, "queries"), hashing_states(16), key="ord", text="text"), F.col("embedding").cast("array<double>"), "ord")
+
+
+def last_token_pool_batched(spark: SparkSession, d: str) -> DataFrame:
+    """Last-token pool where each batch of 8 texts is padded on one side, and the side is read off its masks."""
+    states, _ = _states()
+    place = F.sequence(F.lit(0), F.lit(7))
+    left = F.col("batch") % 2 == 0
+    mask = F.when(left, F.transform(place, lambda i: (i >= 7 - F.col("vec_id") % 8).cast("int"))).otherwise(F.transform(place, lambda i: (i <= F.col("vec_id") % 8).cast("int")))
+    e = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 8)).withColumn("mask", mask)
+    e = e.withColumn("left", V.batch_left_padded(F.col("mask"), "batch"))
+    return _long(e, V.last_token_pool(states, F.col("mask"), F.col("left")))
+
+
+def embedding_model(spark: SparkSession, d: str) -> DataFrame:
+    """States pooled by mean, projected and normalized."""
+    m = np.fromfunction(lambda i, j: (i * 7 + j * 3) % 5 - 2, (8, 4))
+    return _long(table(spark, d, "embeddings"), V.embed_states(*_states(), m))
+
+
+def layer_gated_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Four layers of two states each, pooled by mean within a layer and by gated attention over the layers."""
+    states, _ = _states()
+    layers = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(states, i * 2 + 1, F.lit(2)))
+    i, j = np.meshgrid(np.arange(3), np.arange(8), indexing="ij")
+    v, u, w = np.sin(i * 3 + j), np.cos(i + j * 2), np.sin(np.arange(3) + 1)
+    return _long(table(spark, d, "embeddings"), V.layer_pool(layers, F.array(F.lit(1), F.lit(1)), v, u, w))
+
+
+def hard_negative_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Losses with two negatives of their own for every pair: the first document and the last query of its batch."""
+    pairs = L.batch_pairs(table(spark, d, "embeddings"))
+    w = W.partitionBy("batch_id")
+    neg = F.array(F.min_by("d", "pos").over(w), F.max_by("q", "pos").over(w))
+    return L.batch_hard_negative_losses(pairs.withColumn("neg", neg)).select("batch_id", "n", F.round("loss", 6).alias("loss"))
+
+
+def evaluation_run(spark: SparkSession, d: str) -> DataFrame:
+    """Queries against the whole corpus by the stand-in encoder: metrics at every cut-off."""
+    return evaluate(*(table(spark, d, x) for x in ("queries", "corpus", "qrels")), hashing_encoder(64))
+
+
+def benchmark_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Main scores of two evaluations run one after the other, with their running mean."""
+    q, c, r = (table(spark, d, x) for x in ("queries", "corpus", "qrels"))
+    tasks = [(f"hash{n}", "test", "Retrieval", lambda n=n: evaluate(q, c, r, hashing_encoder(n))) for n in (16, 64)]
+    got = benchmark(spark, tasks)
+    return running_mean(got, "task").select("task", "main_score", (F.col("seconds") > 0).alias("timed"), "running_mean")
+
+
+def index_flat(spark: SparkSession, d: str) -> DataFrame:
+    """An index by the plan for its size, saved and searched (flat below 100,000 vectors)."""
+    e, path = table(spark, d, "embeddings"), shared_path(spark, "plan-index")
+    I.build_index(e, path)
+    return _rounded(I.search_index(S.every_hundredth(e), path, 10))
+
+
+def index_cells(spark: SparkSession, d: str) -> DataFrame:
+    """An index of cells by plan, probed in all of them."""
+    e, path = table(spark, d, "embeddings"), shared_path(spark, "plan-index")
+    plan = I.build_index(e, path, I.IndexPlan("ivf_flat", I.cell_count(e.count())))
+    return _rounded(I.search_index(S.every_hundredth(e), path, 10, plan.cells))
+
+
+def index_codes_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 of an index of cells with product codes, three quarters of the cells probed, the best 80 candidates scored exactly."""
+    e, path = table(spark, d, "embeddings"), shared_path(spark, "plan-index")
+    plan = I.build_index(e, path, I.IndexPlan("ivf_pq", I.cell_count(e.count()), 16, 8))
+    found = I.search_index(S.every_hundredth(e), path, 10, I.share_count(plan.cells), rerank=8)
+    return I.recall(found, S.top_k(S.every_hundredth(e), e, 10), 10)
 
 
 def events_by_hour(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +278,8 @@ QUERIES = {
         l2_normalize, mean_pool_masked, last_token_pool, softmax, project_linear, gated_attention_pool, topk_cosine, topk_self_excluded,
         run_join_judgements, ir_metrics_at_k, contrastive_losses, mining_records_roundtrip, mining_records_columnar, index_choice, ivf_probe_all,
         ivf_index_saved, ivf_index_streamed, ivf_recall, pq_recall, index_training_sample, hashed_query_vectors, events_by_hour,
+        encoded_states_mean, encoded_states_last, last_token_pool_batched, embedding_model, layer_gated_pool, hard_negative_losses, evaluation_run,
+        benchmark_scores, index_flat, index_cells, index_codes_recall,
     )
 }
 
@@ -201,8 +287,8 @@ _E0 = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::d
 _TOP10 = sql_top(10) + "SELECT qid, did, round(score, 6) AS score, rank FROM t"
 _REL = "r AS (SELECT a.vec_id AS qid, b.vec_id AS did FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) "
 _RECORDS = (
-    sql_top(10)
-    + ", q AS (SELECT ord % 1000 AS qid, max(text) AS query FROM queries GROUP BY 1) SELECT t.qid::varchar AS query_id, query, rank, did AS doc_id, round(score, 6) AS score FROM t LEFT JOIN q USING (qid)"
+    sql_top(100)
+    + ", q AS (SELECT ord AS qid, max(text) AS query FROM queries GROUP BY 1) SELECT t.qid::varchar AS query_id, query, rank, did AS doc_id, round(score, 6) AS score FROM t LEFT JOIN q USING (qid)"
 )
 _LOSS = """WITH v AS (SELECT vec_id // 2 AS pos, vec_id % 2 AS side, list_transform(embedding, lambda x: x::double) AS v, label FROM embeddings),
 p AS (SELECT a.pos, a.pos // 64 AS b, a.v AS q, d.v AS d, d.label AS id FROM v a JOIN v d ON a.pos = d.pos AND a.side = 0 AND d.side = 1),
@@ -214,6 +300,24 @@ c AS (SELECT b, j, ln(sum(exp(l - pj))) AS k FROM y GROUP BY 1, 2),
 s AS (SELECT b, coalesce(sum(CASE WHEN i <> j THEN qq * qq + dd * dd ELSE 0 END) / nullif(count(DISTINCT i) * (count(DISTINCT i) - 1), 0), 0) AS sph FROM y GROUP BY 1),
 ra AS (SELECT b, count(*) AS n, avg(a) AS a, avg(m) AS m, sum(nm)::bigint AS n_masked FROM r GROUP BY 1), ca AS (SELECT b, avg(k) AS k FROM c GROUP BY 1)
 SELECT b AS batch_id, n, n_masked, round((a + k) / 2, 6) AS info_nce, round(sph, 6) AS spherical, round(m, 6) AS masked_info_nce, round(sph + m, 6) AS total FROM ra JOIN ca USING (b) JOIN s USING (b)"""
+#: Words of each query with the dimension and sign they have in the stand-in encoder of {n} dimensions.
+_HASHED = (
+    "WITH w AS (SELECT ord, unnest(" + sql_words("coalesce(text, '')") + ") AS w, generate_subscripts(" + sql_words("coalesce(text, '')") + ", 1) AS i FROM queries), "
+    "h AS (SELECT ord, i, (('0x' || substr(md5(w), 1, 8))::bigint % {n})::int AS dim, CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1.0::double ELSE -1.0::double END AS s FROM w), "
+    "q AS (SELECT DISTINCT ord FROM queries), g AS (SELECT ord, unnest(range({n}))::int AS dim FROM q), "
+)
+_UNIT = "l AS (SELECT ord, greatest(sqrt(sum(x * x)), 1e-12::double) AS l FROM c GROUP BY 1) SELECT g.ord, g.dim, round(coalesce(x / l, 0)::float::double, 6) AS x FROM g LEFT JOIN c ON g.ord = c.ord AND g.dim = c.dim LEFT JOIN l ON g.ord = l.ord"
+_COUNTS = _HASHED + "c AS (SELECT ord, dim, sum(s) AS x FROM h GROUP BY 1, 2), " + _UNIT
+_LAST = _HASHED + "c AS (SELECT ord, dim, s AS x FROM h QUALIFY i = max(i) OVER (PARTITION BY ord)), " + _UNIT
+
+
+def _gate(items: str, v: str, u: str, d: int) -> str:
+    """SQL for tanh(V h) * sigmoid(U h) of the list `items` of length d; v, u: entries in r and k."""
+    a = f"list_sum(list_transform(range({d}), lambda k: {items}[k + 1] * {v}))"
+    b = f"list_sum(list_transform(range({d}), lambda k: {items}[k + 1] * {u}))"
+    return f"((1 - 2 / (exp(2 * {a}) + 1)) / (1 + exp(-{b})))"
+
+
 _KS = ", ".join(f"({k})" for k in M.K_VALUES)
 
 SQL = {
@@ -245,5 +349,34 @@ SQL = {
     "ivf_probe_all": _TOP10,
     "ivf_index_saved": _TOP10,
     "ivf_index_streamed": _TOP10,
+    "index_flat": _TOP10,
+    "index_cells": _TOP10,
+    "index_training_sample": "SELECT vec_id FROM embeddings ORDER BY md5('0/' || vec_id::varchar), vec_id LIMIT 100",
+    "hashed_query_vectors": _COUNTS.format(n=64),
+    "encoded_states_mean": _COUNTS.format(n=16),
+    "encoded_states_last": _LAST.format(n=16),
+    "last_token_pool_batched": _E0
+    + """o AS (SELECT 1) SELECT vec_id, dim, round(CASE WHEN (vec_id // 8) % 2 = 0 OR vec_id % 8 = 7 THEN v[57 + dim] ELSE v[(vec_id % 8) * 8 + dim + 1] END, 6) AS x FROM e, i WHERE dim < 8""",
+    "embedding_model": _E0
+    + """s AS (SELECT vec_id, list_transform(range(8), lambda k: list_sum(list_transform(range((vec_id % 8 + 1)), lambda t: v[t * 8 + k + 1])) / (vec_id % 8 + 1)) AS m FROM e),
+        p AS (SELECT vec_id, list_transform(range(4), lambda j: list_sum(list_transform(range(8), lambda k: m[k + 1] * ((k * 7 + j * 3) % 5 - 2)))) AS p FROM s)
+        SELECT vec_id, dim, round(p[dim + 1] / greatest(sqrt(list_inner_product(p, p)), 1e-12::double), 6) AS x FROM p, i WHERE dim < 4""",
+    "layer_gated_pool": _E0
+    + f"""t AS (SELECT unnest(range(4)) AS t), r AS (SELECT unnest(range(3)) AS r),
+        m AS (SELECT vec_id, t, list_transform(range(8), lambda k: (v[t * 16 + k + 1] + v[t * 16 + 8 + k + 1]) / 2) AS h FROM e, t),
+        g AS (SELECT vec_id, t, any_value(h) AS h, sum({_gate("h", "sin(r * 3 + k)", "cos(r + k * 2)", 8)} * sin(r + 1)) * sqrt(8.0::double) AS s FROM m, r GROUP BY 1, 2),
+        z AS (SELECT vec_id, t, h, exp(s - max(s) OVER (PARTITION BY vec_id)) AS x FROM g)
+        SELECT vec_id, dim, round(sum(h[dim + 1] * x) / sum(x), 6) AS x FROM z, i WHERE dim < 8 GROUP BY 1, 2""",
+    "gated_attention_pool": _E0
+    + f"""r AS (SELECT unnest(range(16)) AS r),
+        g AS (SELECT vec_id, any_value(label) AS label, any_value(v) AS v, sum({_gate("v", "sin(r * 3 + k)", "cos(r + k * 2)", 64)} * sin(r)) * 8.0::double AS s FROM e, r GROUP BY 1),
+        z AS (SELECT label, v, exp(s - max(s) OVER (PARTITION BY label)) AS x FROM g)
+        SELECT label, dim, round(sum(v[dim + 1] * x) / sum(x), 6) AS x FROM z, i GROUP BY 1, 2""",
+    "hard_negative_losses": """WITH v AS (SELECT vec_id // 2 AS pos, vec_id % 2 AS side, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
+        p AS (SELECT a.pos, a.pos // 64 AS b, a.v AS q, d.v AS d FROM v a JOIN v d ON a.pos = d.pos AND a.side = 0 AND d.side = 1),
+        n AS (SELECT b, arg_min(d, pos) AS n1, arg_max(q, pos) AS n2 FROM p GROUP BY 1),
+        x AS (SELECT b, pos, list_inner_product(q, d) / 0.07::double AS o, list_inner_product(q, n1) / 0.07::double AS a, list_inner_product(q, n2) / 0.07::double AS c FROM p JOIN n USING (b)),
+        y AS (SELECT i.b, i.pos, sum(exp(list_inner_product(i.q, j.d) / 0.07::double - list_inner_product(i.q, i.d) / 0.07::double)) AS s FROM p i JOIN p j ON i.b = j.b GROUP BY 1, 2)
+        SELECT x.b AS batch_id, count(*) AS n, round(avg(ln(1 + s + exp(a - o) + exp(c - o))), 6) AS loss FROM x JOIN y ON x.b = y.b AND x.pos = y.pos GROUP BY 1""",
     "events_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 #: Columns of a mining record.
 RECORD = "query_id string, query string, doc_ids array<bigint>, scores array<double>"
 
-#: Result formats and the Spark format and options each is kept in. hdf5, pickle and npz are
-#: names of the formats callers ask for; the data are kept as Parquet, one table for all queries.
+#: Result formats and the Spark format and options each is kept in.
 FORMATS = {
     "jsonl": ("json", {}),
     "parquet": ("parquet", {"compression": "zstd"}),
-    "hdf5": ("parquet", {"compression": "gzip"}),
-    "pickle": ("parquet", {"compression": "snappy"}),
-    "npz": ("parquet", {"compression": "gzip"}),
+}
+#: Formats that callers may know from elsewhere and that are not kept here, with the reason.
+REFUSED = {
+    "hdf5": "there is no library for it here; parquet holds the same records in columns",
+    "pickle": "loading a pickle runs code from the file; parquet holds the same records",
+    "npz": "it has one file per query; parquet holds all queries in one table",
 }
 
 
 def _format(name: str) -> tuple[str, dict[str, str]]:
+    if name in REFUSED:
+        raise ValueError(f"Format {name} is not supported: {REFUSED[name]}")
     try:
         return FORMATS[name]
     except KeyError:
@@ -29,7 +33,7 @@ def _format(name: str) -> tuple[str, dict[str, str]]:
 
 
 def save_records(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    """Write mining records; an unknown format is a ValueError."""
+    """Write mining records; an unknown or refused format is a ValueError."""
     spark_format, options = _format(fmt)
     df.select(F.col("query_id").cast("string").alias("query_id"), "query", "doc_ids", "scores").write.mode("overwrite").format(spark_format).options(**options).save(path)
 
@@ -41,15 +45,17 @@ def load_records(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFram
 
 
 def load_task_results(spark: SparkSession, path: str) -> DataFrame:
-    """(task, main_score, task_type, time, split) of one JSON object keyed by task; time stays a string."""
+    """(task, main_score, task_type, time, split) of one JSON object keyed by task; time stays a string.
+
+    Of a task that is there with several splits, each split has an object of its own (a line of the file)."""
     kind = "map<string, struct<main_score: double, task_type: string, time: string, split: string>>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value")).select(F.from_json("value", kind).alias("m"))
     return whole.select(F.explode("m").alias("task", "r")).select("task", "r.*")
 
 
 def save_task_results(df: DataFrame, path: str) -> None:
-    """One JSON object keyed by task. A few rows by nature (one per task)."""
-    text = df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task", F.struct("main_score", "task_type", "time", "split"))))).alias("value"))
+    """One JSON object keyed by task, a line for each split. A few rows by nature (one per task and split)."""
+    text = df.groupBy("split").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task", F.struct("main_score", "task_type", "time", "split"))))).alias("value")).select("value")
     text.coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 
@@ -28,6 +29,16 @@ def metadata(task: Task) -> dict:
     return {f.name: getattr(task, f.name) for f in fields(task) if not f.name.startswith("_") and f.name != "splits"}
 
 
+def export_task(task: Task, path: str) -> None:
+    """Write the public metadata (metadata.json) and the rows of the evaluation splits (one folder of JSON lines each) under path."""
+    rows = {s: load_split(task, s) for s in task.eval_splits}
+    for name, df in rows.items():
+        df.write.mode("overwrite").json(f"{path}/data/{name}")
+    for df in list(rows.values())[:1]:
+        text = json.dumps(metadata(task), sort_keys=True, default=str)
+        df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata.json")
+
+
 def load_split(task: Task, split: str = "test") -> DataFrame:
     """The rows of a split; an unknown one is a ValueError that names those there are."""
     if split not in task.splits:
@@ -48,12 +59,22 @@ def only_eval_split(task: Task) -> str:
 
 
 def pick_subset(df: DataFrame, split: str, subset: str = "default") -> DataFrame:
-    """Rows of the split and subset; where the table has no subsets, 'default' is the whole split."""
+    """Rows of the split and subset.
+
+    Where 'default' is asked for and the table has no such subset, it is the
+    whole split, which then must hold no more than one subset. Any other subset
+    that is not there, and a split that is not, are a ValueError, not an empty result.
+    """
     out = df.where(F.col("split") == split)
-    if "subset" in df.columns:
+    there = {r[0] for r in (out.select("subset") if "subset" in df.columns else out.select(F.lit(None))).distinct().limit(1000).collect()}
+    if not there:
+        raise ValueError(f"no split '{split}'")
+    if subset in there:
         return out.where(F.col("subset") == subset)
     if subset != "default":
-        raise ValueError(f"no subset '{subset}': the table has none")
+        raise ValueError(f"no subset '{subset}' in split '{split}'; there are {sorted(map(str, there - {None})) or 'none'}")
+    if len(there) > 1:
+        raise ValueError(f"split '{split}' has {len(there)} subsets and no default")
     return out
 
 

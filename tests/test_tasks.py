@@ -26,7 +26,14 @@ def test_splits(spark):
 
 def test_subsets(spark):
     df = spark.createDataFrame([("test", "en"), ("test", "default"), ("dev", "en")], "split string, subset string")
-    assert K.pick_subset(df, "test", "en").count() == 1
+    assert K.pick_subset(df, "test", "en").count() == K.pick_subset(df, "test").count() == 1
+    assert K.pick_subset(df.where("subset = 'en'"), "test").count() == 1
+    for split, subset in (("test", "fr"), ("train", "default")):
+        with pytest.raises(ValueError):
+            K.pick_subset(df, split, subset)
+    two = spark.createDataFrame([("test", "en"), ("test", "fr")], "split string, subset string")
+    with pytest.raises(ValueError, match="2 subsets"):
+        K.pick_subset(two, "test")
     assert K.pick_subset(df.drop("subset"), "test").count() == 2
     with pytest.raises(ValueError):
         K.pick_subset(df.drop("subset"), "test", "en")
@@ -37,3 +44,10 @@ def test_defaults_are_for_missing_columns_only(spark):
     assert [tuple(r) for r in K.task_rows(df, "Retrieval").collect()] == [("q", None, "")]
     assert [tuple(r) for r in K.task_rows(df, "Classification").collect()] == [("", 0)]
     assert K.task_rows(df, "STS").columns == df.columns
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\u001cb"), (2, None)], "id int, text string")
+    K.export_task(task(df), str(tmp_path))
+    assert {tuple(r) for r in spark.read.schema("id int, text string").json(f"{tmp_path}/data/test").collect()} == {(1, "a\u001cb"), (2, None)}
+    assert '"name": "t"' in spark.read.text(f"{tmp_path}/metadata.json").first()[0] and "_cache" not in spark.read.text(f"{tmp_path}/metadata.json").first()[0]

@@ -154,3 +154,8 @@ def test_record_formats(spark, tmp_path):
         assert [tuple(r) for r in R.load_records(spark, str(tmp_path / fmt), fmt).collect()] == [("1", "q", [3, 4], [0.5, 0.25])]
     with pytest.raises(ValueError, match="Unknown format"):
         R.save_records(df, str(tmp_path / "x"), "xml")
+    for fmt in ("hdf5", "pickle", "npz"):
+        with pytest.raises(ValueError, match=f"Format {fmt} is not supported"):
+            R.save_records(df, str(tmp_path / "x"), fmt)
+        with pytest.raises(ValueError, match=f"Format {fmt} is not supported"):
+            R.load_records(spark, str(tmp_path / "x"), fmt)
