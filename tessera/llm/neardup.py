@@ -96,12 +96,26 @@ class Ranks:
     def __init__(self, keys: np.ndarray, rank: np.ndarray):
         o = np.argsort(keys)
         self.keys, self.rank = keys[o], rank[o]
+        # keys are spread evenly, so their first bits lead to a stretch of a key or two
+        bits = max(1, len(keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=_U)).astype(np.int32)
 
     def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.uint8)
         if not len(self.keys):
-            return np.zeros(len(h), np.uint8)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.rank[at], 0).astype(np.uint8)
+            return out
+        at = (h >> self.shift).astype(np.int64)
+        lo, hi = self.first[at], self.first[at + 1]
+        open_ = np.flatnonzero(lo < hi)
+        lo, hi = lo[open_], hi[open_]
+        while len(open_):
+            same = self.keys[lo] == h[open_]
+            out[open_[same]] = self.rank[lo[same]]
+            lo = lo + 1
+            go = ~same & (lo < hi)
+            open_, lo, hi = open_[go], lo[go], hi[go]
+        return out
 
 
 def _routes(h: np.ndarray, per: np.ndarray, width: int, common: Ranks, hot_rank: int) -> np.ndarray:
@@ -672,7 +686,8 @@ def similar_records(rows: DataFrame, owners: DataFrame, *, width: int = 5, thres
     Records with the same set are pairs, too. A set with more than `expand`
     records is given by its representative, the record with the least id: it is
     paired with each copy, and with the representatives or records of similar
-    sets; similar_classes at the same width and least_words has the membership, so nothing is lost and the result
+    sets; similar_classes at the same width and least_words has the membership and
+    the copies of each class, from which all_pairs restores every pair, so nothing is lost and the result
     stays in proportion to the input however many copies there are. Records
     with null, empty or short texts have no pairs.
     """
@@ -690,6 +705,19 @@ def similar_records(rows: DataFrame, owners: DataFrame, *, width: int = 5, thres
     return same.unionByName(star).unionByName(other)
 
 
+def all_pairs(found: DataFrame, classes: DataFrame, *, expand: int = EXPAND_COPIES) -> DataFrame:
+    """Every similar pair (id_a, id_b), from what similar_records and similar_classes gave at one width, threshold and expand.
+
+    A representative of more than `expand` copies stands for all of them. The
+    result grows with the square of the copies: it is meant for the ids one asks for, not for whole tables.
+    """
+    m = classes.where(F.col("copies") > expand).select(F.col("class_id").alias("rep"), "id")
+    a, b = m.select(F.col("rep").alias("ra"), F.col("id").alias("a")), m.select(F.col("rep").alias("rb"), F.col("id").alias("b"))
+    both = found.join(a, F.col("id_a") == F.col("ra"), "left").join(b, F.col("id_b") == F.col("rb"), "left")
+    both = both.select(F.coalesce("a", "id_a").alias("a"), F.coalesce("b", "id_b").alias("b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
 def similar_classes(rows: DataFrame, owners: DataFrame, *, width: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
     """(id, class_id, copies, links): each record with the class of its set.
 

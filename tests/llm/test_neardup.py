@@ -67,7 +67,11 @@ def test_records_and_classes(spark):
     assert every == {(x, y) for x in range(8) for y in range(x + 1, 8)}
     star = [tuple(x) for x in N.similar_records(r, o, width=3, threshold=0.5, expand=3).collect()]
     assert sorted(star) == [(0, i) for i in range(1, 8)] + [(6, 7)]
-    got = {tuple(x) for x in N.similar_classes(r, o, width=3, threshold=0.5).collect()}
+    classes = N.similar_classes(r, o, width=3, threshold=0.5)
+    for expand in (1, 3, 5, 6):
+        few = N.similar_records(r, o, width=3, threshold=0.5, expand=expand)
+        assert {tuple(x) for x in N.all_pairs(few, classes, expand=expand).collect()} == every
+    got = {tuple(x) for x in classes.collect()}
     assert got == {(i, 0, 6, 1) for i in range(6)} | {(i, 6, 2, 1) for i in (6, 7)}
 
 
