@@ -43,20 +43,43 @@ def place_words(texts: list[str | None], gap: int) -> tuple[np.ndarray, np.ndarr
     return h, np.arange(len(h)) + np.repeat(start - first, per), start
 
 
-def pack_places(places: np.ndarray) -> bytes:
-    """Ascending places as compressed steps."""
-    return zlib.compress(np.diff(places, prepend=0).astype(np.uint32).tobytes(), 1)
-
-
-def unpack_places(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(x), np.uint32), dtype=np.int64)
+def pack_lists(places: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Lists of ascending places (list i begins at first[i]) as steps of seven bits a byte, the first step from 0."""
+    step = np.diff(places, prepend=0)
+    step[first] = places[first]
+    size = 1 + sum((step >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28, 35, 42, 49, 56))
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        more = (size[on] > k + 1).astype(np.uint8) << 7
+        out[(end - size)[on] + k] = ((step[on] >> (7 * k)) & 127).astype(np.uint8) | more
+    edge = (end - size)[first].tolist() + [len(out)]
+    whole = out.tobytes()
+    return [whole[i:j] for i, j in zip(edge, edge[1:])]
+
+
+def unpack_lists(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all places, number of places of each list)."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    b = np.frombuffer(b"".join(lists), np.uint8)
+    last = b < 128
+    begin = np.flatnonzero(np.r_[True, last[:-1]]) if len(b) else np.zeros(0, np.int64)
+    nth = np.arange(len(b)) - np.repeat(begin, np.diff(np.r_[begin, len(b)]))
+    step = np.add.reduceat((b & 127).astype(np.int64) << (7 * nth), begin) if len(b) else np.zeros(0, np.int64)
+    upto = np.r_[0, np.cumsum(last)]
+    edge = upto[np.r_[0, np.cumsum(size)]]
+    n = np.diff(edge)
+    total = np.cumsum(step)
+    before = np.r_[0, total][edge[:-1]]
+    return total - np.repeat(before, n), n
 
 
 def store_index(docs: DataFrame, path: str, *, vocabulary: np.ndarray | None = None, gap: int = 64) -> DataFrame:
     """Write the positional index of docs (doc bigint, text string) to path and return it.
 
     Rows: (shard bigint, term bigint, n int, places binary): the places of a
-    word in a shard, ascending. The row of term null has the documents of the
+    word in a shard, ascending (see pack_lists). The row of term null has the documents of the
     shard: their ids and first places. vocabulary: hashes of the words that are
     indexed, ascending (None: all). Null ids are kept; null and empty texts have no words.
     """
@@ -80,7 +103,7 @@ def store_index(docs: DataFrame, path: str, *, vocabulary: np.ndarray | None = N
                 h, at = h[o], at[o]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 n = np.diff(np.r_[first, len(h)])
-                lists = [pack_places(at[a : a + k]) for a, k in zip(first, n)]
+                lists = pack_lists(at, first)
                 ids, there = block.column(0), block.column(0).is_valid().to_numpy(zero_copy_only=False)
                 head = zlib.compress(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + start.astype(np.int64).tobytes() + there.astype(np.int64).tobytes(), 1)
                 terms = pa.array(np.r_[0, h[first].view(np.int64)], mask=np.r_[True, np.zeros(len(first), bool)])
@@ -101,12 +124,11 @@ class Shard:
         self.ids = pa.array(doc, mask=there == 0)
         o = np.argsort(terms)
         self.terms = terms[o]
-        got = [unpack_places(lists[i]) for i in o]
-        self.first = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int64)
-        self.places = np.concatenate(got) if got else np.zeros(0, np.int64)
+        self.places, n = unpack_lists([lists[i] for i in o])
+        self.first = np.r_[0, np.cumsum(n)].astype(np.int64)
         # all lists behind each other, as one ascending list of (term, place)
         self.width = int(self.places.max(initial=0)) + 1
-        self.key = np.repeat(np.arange(len(got)), np.diff(self.first)) * self.width + self.places
+        self.key = np.repeat(np.arange(len(n)), n) * self.width + self.places
 
     def codes(self, terms: np.ndarray) -> np.ndarray:
         """The number of each term's list in this shard, -1 for none."""

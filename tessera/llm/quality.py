@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import normalized, word_hashes, words
+from tessera.llm.words import every_character, letters_and_digits, normalized, word_hashes, words
 
 # Common function words of four languages.
 FUNCTION_WORDS = {
@@ -88,11 +88,11 @@ _EMPHASIS = re.compile(r"\*\*(?=\w)|(?<=[\w.,;:!?\"')])\*\*")
 def _char_class() -> np.ndarray:
     """Place in CLASSES of each code point (letters: lower or upper), 255 for white space."""
     out = np.full(sys.maxunicode + 1, 6, np.uint8)
-    for c in range(sys.maxunicode + 1):
+    for m in re.finditer(r"\s+", every_character()):
+        out[m.start() : m.end()] = 255
+    for c in np.flatnonzero(letters_and_digits()).tolist():
         x = chr(c)
-        if x.isspace():
-            out[c] = 255
-        elif x.isalpha():
+        if x.isalpha():
             out[c] = 2 if x.isupper() or x.istitle() else 1
         elif x.isdecimal():
             out[c] = 3
@@ -105,7 +105,10 @@ def _char_class() -> np.ndarray:
 def _caseless() -> tuple[np.ndarray, np.ndarray]:
     """(letters of scripts without case, those that are written without spaces) by code point."""
     n = sys.maxunicode + 1
-    no_case = np.fromiter((chr(c).isalpha() and chr(c).lower() == chr(c).upper() for c in range(n)), bool, n)
+    no_case = np.zeros(n, bool)
+    for c in np.flatnonzero(letters_and_digits()).tolist():
+        x = chr(c)
+        no_case[c] = x.isalpha() and x.lower() == x.upper()
     dense = np.zeros(n, bool)
     for a, z in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)):
         dense[a : z + 1] = no_case[a : z + 1]

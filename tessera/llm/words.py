@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -12,16 +13,30 @@ _STEP = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def every_character() -> str:
+    """All code points, in order, as one text."""
+    return np.arange(sys.maxunicode + 1, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @lru_cache(maxsize=1)
-def _alnum() -> np.ndarray:
-    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+def letters_and_digits() -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in re.finditer(r"[^\W_]+", every_character()):
+        out[m.start() : m.end()] = True
+    return out
 
 
 @lru_cache(maxsize=1)
 def _lower() -> np.ndarray:
     """The code point of each code point's lower case (itself where that is more than one)."""
-    low = (chr(c).lower() for c in range(sys.maxunicode + 1))
-    return np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(low)), np.uint64, sys.maxunicode + 1)
+    # two letters aside, of which one has two code points and the other looks at its neighbours
+    odd = "\u0130\u03a3"
+    whole = every_character().replace(odd[0], " ").replace(odd[1], " ").lower()
+    out = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    for c in odd:
+        low = c.lower()
+        out[ord(c)] = ord(low) if len(low) == 1 else ord(c)
+    return out
 
 
 _weights = np.ones(1, np.uint64)
@@ -55,7 +70,7 @@ def normalized(text: str | None) -> str:
 
 def word_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first place, length) of each word in code points; the hash does not depend on case."""
-    is_word = _alnum()[cp]
+    is_word = letters_and_digits()[cp]
     begins = is_word.copy()
     begins[1:] &= ~is_word[:-1]
     at, first = np.flatnonzero(is_word), np.flatnonzero(begins)

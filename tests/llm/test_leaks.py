@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from tessera.llm.leaks import Shard, leaked_items, match_passages, pack_places, place_words, split_passages, store_index, unpack_places
+from tessera.llm.leaks import Shard, leaked_items, match_passages, pack_lists, place_words, split_passages, store_index, unpack_lists
 
 
 def words(t):
@@ -52,7 +52,7 @@ def shard_of(texts, gap=20):
     h, at, start = place_words(texts, gap)
     terms = np.unique(h)
     head = __import__("zlib").compress(np.concatenate([np.arange(len(texts)), start, np.ones(len(texts), np.int64)]).astype(np.int64).tobytes())
-    return Shard(head, terms.view(np.int64), [pack_places(at[h == t]) for t in terms])
+    return Shard(head, terms.view(np.int64), [pack_lists(at[h == t], np.zeros(1, int))[0] for t in terms])
 
 
 def test_proximity_takes_moved_words():
@@ -114,7 +114,7 @@ def test_passages_cover_every_window():
 def test_the_index_has_every_place(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (None, "b"), (3, None), (4, "c " * 500)], "doc bigint, text string").coalesce(1)
     index = store_index(docs, f"{tmp_path}/index", gap=10)
-    rows = {r.term: unpack_places(r.places).tolist() for r in index.collect() if r.term is not None}
+    rows = {r.term: unpack_lists([r.places])[0].tolist() for r in index.collect() if r.term is not None}
     h = dict(zip("abc", place_words(["a b c"], 0)[0].view(np.int64).tolist()))
     assert rows == {h["a"]: [0, 2], h["b"]: [1, 13], h["c"]: [34 + i for i in range(500)]}
     few = store_index(docs, f"{tmp_path}/few", vocabulary=np.array([h["b"]]).view(np.uint64), gap=10)
@@ -125,3 +125,13 @@ def test_the_index_has_every_place(spark, tmp_path):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")], width=2) == set()
     assert run(spark, [(1, "a b c")], [], width=2) == set()
+
+
+def test_lists_of_places_survive_packing():
+    rng = np.random.default_rng(0)
+    lists = [np.cumsum(rng.integers(0, 1 << int(b), n)) for b, n in zip(rng.integers(0, 40, 60), rng.integers(1, 50, 60))]
+    first = np.cumsum([0, *map(len, lists)])[:-1]
+    packed = pack_lists(np.concatenate(lists), first)
+    places, n = unpack_lists(packed)
+    assert n.tolist() == [len(x) for x in lists] and places.tolist() == np.concatenate(lists).tolist()
+    assert unpack_lists([])[0].tolist() == [] and [len(x) for x in pack_lists(np.array([3, 130, 131]), np.zeros(1, int))] == [3]
