@@ -102,10 +102,10 @@ QUERIES = {"p1_sequences": p1_sequences, "p1_totals": p1_totals, "p2_found": p2_
 
 
 def _sql_words(c: str) -> str:
-    """Words of c: runs of letters and digits in lower case. Of NFKC, what these tables need: full-width forms, a half and the trade mark sign."""
+    """Words of c: runs of letters and digits in lower case. Of NFKC, what these tables need: NFC, full-width forms, a half and the trade mark sign."""
     wide = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F))
     plain = "".join(chr(i) for i in range(0x21, 0x7F)).replace("'", "''")
-    return f"regexp_extract_all(lower(translate(replace(replace({c}, '\u2122', 'TM'), '\u00bd', '1/2'), '{wide}', '{plain}')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(lower(nfc_normalize(translate(replace(replace({c}, '\u2122', 'TM'), '\u00bd', '1/2'), '{wide}', '{plain}'))), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _sql_grams(source: str, key: str, width: int, *, distinct: bool = True) -> str:
