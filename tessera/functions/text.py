@@ -120,6 +120,11 @@ def format_instruction(template: str, instruction: Column | str) -> Column:
     return F.replace(F.lit(template), F.lit("{instruction}"), _col(instruction))
 
 
+def repeated(c: Column | str, n: int) -> Column:
+    """c written n times, a space between: a long text for load tests."""
+    return F.rtrim(F.repeat(F.concat(_col(c), F.lit(" ")), n))
+
+
 def weight_decay(name: Column | str, rate: float, exempt: tuple[str, ...] = ("bias", "layer_norm.weight")) -> Column:
     """rate, or 0 for parameters whose name holds one of the exempt parts."""
     hit = F.lit(False)

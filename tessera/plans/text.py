@@ -10,7 +10,7 @@ from tessera.functions.ids import canonical_id
 from tessera.operators import pairs as P
 from tessera.operators import tokens as K
 from tessera.plans.sqltext import sql_id, sql_strip, sql_valid, sql_word_ids
-from tessera.sources.tables import table
+from tessera.sources.tables import table, text_dataset
 from tessera.session import shared_path
 from tessera.sources.tasks import Task, evaluation_data, export_task, metadata, pick_subset, prompted, select_tasks, task_rows
 
@@ -108,6 +108,18 @@ def task_export(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("ord bigint, _id string, text string").json(f"{path}/data/test")
 
 
+def load_probe(spark: SparkSession, d: str) -> DataFrame:
+    """A load test: every title repeated 50 times, tokenized at 64 words as a query and at 128 as a passage."""
+    ids = K.word_ids(T.repeated("title", 50))
+    t = table(spark, d, "documents").select("doc_id", K.truncated(ids, 64).alias("q"), K.truncated(ids, 128).alias("p"))
+    return t.select("doc_id", F.size("q").alias("query_len"), F.size("p").alias("pos_len"), F.md5(F.array_join("p", ",")).alias("ids"))
+
+
+def given_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A few given texts as a table."""
+    return text_dataset(spark, ["red fox", "", None])
+
+
 def formatted_instruction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.format_instruction("Instruct: {instruction}\nQuery:", F.coalesce("task_name", F.lit("none"))).alias("prompt"))
 
@@ -175,7 +187,7 @@ QUERIES = {
         strip_titles, valid_rows, title_default, prompt_query_instruct, prompt_document_titled, prompt_query_task, prompt_document_task,
         training_query_prompts, training_document_prompts, prompted_dataset, prompt_resolution, formatted_instruction, task_rows_retrieval,
         task_rows_classification, weight_decay_groups, pair_build_last_wins, qrel_semi_join, queries_with_positives, zip_aligned,
-        tokenized_examples, hard_negatives, prompt_priority, task_splits, task_subset, task_metadata, task_export,
+        tokenized_examples, hard_negatives, prompt_priority, task_splits, task_subset, task_metadata, task_export, load_probe, given_texts,
     )
 }
 
@@ -209,6 +221,9 @@ SQL = {
     + f"""SELECT query_id, positive_id::bigint AS pos_ids, least(1024, len(qi))::int AS query_len, least(4096, len(di))::int AS pos_len,
         (least(1024, len(qi)) + least(4096, len(di)))::int AS total_len, md5(array_to_string(di[1:4096], ',')) AS ids
         FROM (SELECT *, {sql_word_ids(f"('{T.QUERY_PREFIX}' || query_text)")} AS qi, {sql_word_ids('(' + _TITLED.format(t='positive_title', x='positive_text') + ')')} AS di FROM p)""",
+    "given_texts": "SELECT * FROM (VALUES (0::bigint, 'red fox'), (1, ''), (2, NULL)) v(pos, text)",
+    "load_probe": f"""SELECT doc_id, least(64, len(i))::int AS query_len, least(128, len(i))::int AS pos_len, md5(array_to_string(i[1:128], ',')) AS ids
+        FROM (SELECT doc_id, {sql_word_ids("repeat(title || ' ', 50)")} AS i FROM documents)""",
     "prompt_priority": """SELECT doc_id, CASE WHEN task_name = 'statute_search' AND NOT coalesce(length(title) > 0, false) THEN 'find the statute' WHEN task_name = 'statute_search' THEN 'statutes'
         WHEN lang = 'en' AND length(title) > 0 THEN 'a passage' WHEN lang = 'en' THEN 'search' WHEN length(title) > 0 THEN 'a text' END AS prompt FROM documents""",
     "task_splits": "SELECT doc_id, lang AS split FROM documents WHERE lang IN ('en', 'de')",
