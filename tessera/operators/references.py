@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_id, is_blank
+from tessera.session import cut
 
 #: A key with more than this share of all references is hot; at most 1/HOT_SHARE keys can be.
 HOT_SHARE = 1 / 64
@@ -77,21 +78,24 @@ def references(df: DataFrame, parents: Sequence[Parent], at: str, row_id: str) -
     return long.select("row_id", "at", "r.ref_table", "r.k").where("k is not null")
 
 
-def _orphan_keys(refs: DataFrame, parents: Sequence[Parent]) -> DataFrame:
-    """Distinct (ref_table, k, at) for which no span of the parent key holds at."""
-    keys = refs.select("ref_table", "k", "at").distinct()
-    per_key = refs.groupBy("ref_table", "k").agg(F.count("*").alias("n"))
-    total = refs.agg(F.count("*")).scalar()
+def _orphan_keys(refs: DataFrame, parents: Sequence[Parent]) -> tuple[DataFrame, DataFrame]:
+    """(counts, orphans): references per distinct (ref_table, k, at), and those of them for which no span of the parent key holds at.
+
+    The counts are written once: keys, hot keys and the report are all made of them.
+    """
+    counts = cut(refs.groupBy("ref_table", "k", "at").agg(F.count("*").alias("n")))
+    per_key = counts.groupBy("ref_table", "k").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     # at most 1/HOT_SHARE rows by construction, so the broadcast is bounded
     hot = F.broadcast(per_key.where(F.col("n") > total * HOT_SHARE).select("ref_table", "k", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    left = keys.join(hot, ["ref_table", "k"], "left").select("ref_table", "k", "at", salt.alias("salt"))
+    left = counts.join(hot, ["ref_table", "k"], "left").select("ref_table", "k", "at", "n", salt.alias("salt"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = live_spans(parents).join(hot, ["ref_table", "k"], "left").select("ref_table", "k", "spans", F.explode(salts).alias("salt"))
     a, b = left.alias("a"), right.alias("b")
     live = F.exists(F.col("b.spans"), lambda x: (F.col("a.at") >= x["since"]) & (F.col("a.at") < x["until"]))
     same = (F.col("a.ref_table") == F.col("b.ref_table")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.salt") == F.col("b.salt"))
-    return a.join(b, same & live, "left_anti").select("ref_table", "k", "at")
+    return counts, a.join(b, same & live, "left_anti").select("ref_table", "k", "at", "n")
 
 
 def orphan_references(df: DataFrame, parents: Sequence[Parent], *, at: str = "judged_at", row_id: str = "ord") -> DataFrame:
@@ -110,7 +114,7 @@ def orphan_references(df: DataFrame, parents: Sequence[Parent], *, at: str = "ju
     spans of the parent keys; what is left is joined back to the rows.
     """
     refs = references(df, parents, at, row_id)
-    orphans = _orphan_keys(refs, parents).alias("o")
+    orphans = _orphan_keys(refs, parents)[1].alias("o")
     r = refs.alias("r")
     same = (F.col("r.ref_table") == F.col("o.ref_table")) & (F.col("r.k") == F.col("o.k")) & F.col("r.at").eqNullSafe(F.col("o.at"))
     return r.join(orphans, same, "left_semi").select(F.col("row_id").alias(row_id), "ref_table")
@@ -123,13 +127,8 @@ def orphan_report(df: DataFrame, parents: Sequence[Parent], *, at: str = "judged
     looked up among those, so a hot key costs no more than its distinct times.
     A null time has the period null.
     """
-    refs = references(df, parents, at, at)
-    orphans = _orphan_keys(refs, parents).withColumn("gone", F.lit(1))
-    n = refs.groupBy("ref_table", "k", "at").agg(F.count("*").alias("n")).alias("n")
-    o = orphans.alias("o")
-    same = (F.col("n.ref_table") == F.col("o.ref_table")) & (F.col("n.k") == F.col("o.k")) & F.col("n.at").eqNullSafe(F.col("o.at"))
-    return (
-        n.join(o, same, "left")
-        .groupBy(F.col("n.ref_table").alias("ref_table"), F.date_format("n.at", "yyyy-MM").alias("period"))
-        .agg(F.sum("n.n").alias("refs"), F.sum(F.when(F.col("gone") == 1, F.col("n.n")).otherwise(0)).alias("orphans"))
-    )
+    counts, orphans = _orphan_keys(references(df, parents, at, at), parents)
+    period = F.date_format("at", "yyyy-MM").alias("period")
+    every = counts.groupBy("ref_table", period).agg(F.sum("n").alias("refs"), F.lit(0).cast("bigint").alias("orphans"))
+    gone = orphans.groupBy("ref_table", period).agg(F.lit(0).cast("bigint").alias("refs"), F.sum("n").alias("orphans"))
+    return every.unionByName(gone).groupBy("ref_table", "period").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
