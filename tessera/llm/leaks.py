@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import words
-from tessera.session import shared_path
+from tessera.session import cut, shared_path
 
 #: Documents of a shard.
 SHARD_DOCS = 4096
@@ -267,7 +267,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, width: int = 12, slop: in
     known = np.sort(terms.view(np.uint64)) if len(terms) <= vocabulary else None
     index = store_index(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), shared_path(spark, "leak-index"), vocabulary=known, gap=width + slop + 1)
     totals = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("total"))
-    passages = _passages(item_words, totals, width)
+    passages = cut(_passages(item_words, totals, width))
     there = index.where("term is not null").select("term", "shard")
     size = passages.agg(F.sum(F.length("terms") + 24)).first()[0] or 0
     if size <= broadcast_bytes:
