@@ -128,11 +128,20 @@ def _function_masks() -> tuple[np.ndarray, np.ndarray]:
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each row of p from q (both broadcast)."""
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=-1)
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=-1)
-    return np.maximum((a + b) / 2, 0)
+    return np.maximum(_entropy((p + q) / 2) - (_entropy(p) + _entropy(q)) / 2, 0)
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(np.maximum(p, 1e-300))).sum(axis=-1)
+
+
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """What each code point is at the end of a word: 1 an end, 2 an end that needs no space, 4 a comma, 8 a closing mark."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for bit, chars in ((1, _ENDS), (2, _WIDE_ENDS), (4, _COMMAS), (8, _CLOSERS)):
+        out[[ord(c) for c in chars]] |= bit
+    return out
 
 
 class Profiles:
@@ -217,15 +226,15 @@ class Lines:
             return
         after = np.r_[cp, 10, 10]
         one, two = after[first + size], after[first + size + 1]
-        is_ = lambda x, chars: np.isin(x, [ord(c) for c in chars])
-        blank = np.r_[kind == 255, True, True]
-        gap2 = blank[first + size + 1] | is_(two, _CLOSERS + _ENDS)
-        final = (is_(one, _ENDS) & gap2) | is_(one, _WIDE_ENDS) | (is_(one, _CLOSERS) & is_(two, _ENDS + _WIDE_ENDS))
+        one, two = _marks()[one], _marks()[two]
+        blank = np.r_[kind == 255, True, True][first + size + 1]
+        run = dense[cp[first]]
+        final = ((one & 1 > 0) & (blank | (two & 9 > 0))) | (one & 2 > 0) | ((one & 8 > 0) & (two & 3 > 0))
         # a number at the start of a line numbers an entry
         final &= ~((kind[first] == 3) & np.r_[True, word_line[1:] != word_line[:-1]])
         # in scripts without spaces marks stand without, too
-        final |= is_(one, _ENDS) & dense[cp[first]]
-        comma = is_(one, _COMMAS) & (blank[first + size + 1] | dense[cp[first]]) & ~final
+        final |= (one & 1 > 0) & run
+        comma = (one & 4 > 0) & (blank | run) & ~final
         par = self.paragraph[word_line]
         begins = np.r_[True, final[:-1] | (par[1:] != par[:-1])]
         head = kind[first]
@@ -233,7 +242,6 @@ class Lines:
         which = np.select([final, initial, comma, head == 3, head == 2], [1, 0, 2, 3, 4], 5)
         self.shape = np.bincount(par * len(SHAPE) + which, minlength=self.shape.size).reshape(self.shape.shape).astype(float)
         # a run of a script without spaces is a word for every two letters, the first of which may begin a sentence
-        run = dense[cp[first]]
         more = np.maximum(size / 2 - 1, 0)
         head = np.where(begins & final & run, np.minimum(more, 1), 0)
         self.shape[:, 0] += np.bincount(par[run], weights=head[run], minlength=len(self.shape))
