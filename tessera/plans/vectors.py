@@ -177,6 +177,15 @@ def pq_recall(spark: SparkSession, d: str) -> DataFrame:
     return I.recall(I.search_codes(S.every_hundredth(e), e, book, 10), S.top_k(S.every_hundredth(e), e, 10), 10)
 
 
+def recalls_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the recall at 10 of each approximate search is 0.9 at least."""
+    out = None
+    for f in (ivf_recall, pq_recall, index_codes_recall):
+        one = f(spark, d).select(F.lit(f.__name__).alias("search"), F.col("k").cast("int").alias("k"), (F.col("recall") >= 0.9).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def index_training_sample(spark: SparkSession, d: str) -> DataFrame:
     """The rows on which an index of a corpus is fitted: a hundred, the feature of the sampler."""
     return I.training_sample(table(spark, d, "embeddings"), 100).select("vec_id")
@@ -279,7 +288,7 @@ QUERIES = {
         run_join_judgements, ir_metrics_at_k, contrastive_losses, mining_records_roundtrip, mining_records_columnar, index_choice, ivf_probe_all,
         ivf_index_saved, ivf_index_streamed, ivf_recall, pq_recall, index_training_sample, hashed_query_vectors, events_by_hour,
         encoded_states_mean, encoded_states_last, last_token_pool_batched, embedding_model, layer_gated_pool, hard_negative_losses, evaluation_run,
-        benchmark_scores, index_flat, index_cells, index_codes_recall,
+        benchmark_scores, index_flat, index_cells, index_codes_recall, recalls_kept,
     )
 }
 
@@ -349,6 +358,7 @@ SQL = {
     "ivf_probe_all": _TOP10,
     "ivf_index_saved": _TOP10,
     "ivf_index_streamed": _TOP10,
+    "recalls_kept": "SELECT * FROM (VALUES ('ivf_recall', 10, true), ('pq_recall', 10, true), ('index_codes_recall', 10, true)) v(search, k, enough)",
     "index_flat": _TOP10,
     "index_cells": _TOP10,
     "index_training_sample": "SELECT vec_id FROM embeddings ORDER BY md5('0/' || vec_id::varchar), vec_id LIMIT 100",
