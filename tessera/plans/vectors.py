@@ -381,7 +381,7 @@ SQL = {
     + f"""r AS (SELECT unnest(range(16)) AS r),
         g AS (SELECT vec_id, any_value(label) AS label, any_value(v) AS v, sum({_gate("v", "sin(r * 3 + k)", "cos(r + k * 2)", 64)} * sin(r)) * 8.0::double AS s FROM e, r GROUP BY 1),
         z AS (SELECT label, v, exp(s - max(s) OVER (PARTITION BY label)) AS x FROM g)
-        SELECT label, dim, round(sum(v[dim + 1] * x) / sum(x), 6) AS x FROM z, i GROUP BY 1, 2""",
+        SELECT label::bigint AS label, dim, round(sum(v[dim + 1] * x) / sum(x), 6) AS x FROM z, i GROUP BY 1, 2""",
     "hard_negative_losses": """WITH v AS (SELECT vec_id // 2 AS pos, vec_id % 2 AS side, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
         p AS (SELECT a.pos, a.pos // 64 AS b, a.v AS q, d.v AS d FROM v a JOIN v d ON a.pos = d.pos AND a.side = 0 AND d.side = 1),
         n AS (SELECT b, arg_min(d, pos) AS n1, arg_max(q, pos) AS n2 FROM p GROUP BY 1),
