@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, doubles, l2_normalize, stack_vectors, unit_rows
 from tessera.operators.search import GROUP_BYTES, HITS, QUERY_BYTES, QueryTops, collected, extent, keyed_vectors, merge_top, score_groups, top_k
+from tessera.session import cut
 
 #: Vectors on which cells and codebooks are fitted, at most.
 TRAIN_ROWS = 100_000
@@ -20,6 +21,8 @@ TRAIN_ROWS = 100_000
 LEAST_PROBES = 128
 #: Cells whose rows lie in one folder of a saved index.
 FOLDER_CELLS = 16
+#: Candidates that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Rows that are compared with all centroids at a time.
 _FIT_CHUNK = 8192
 
@@ -140,7 +143,7 @@ def train_codebook(df: DataFrame, subspaces: int = 16, bits: int = 8, *, key: st
 
 
 def assign_cells(df: DataFrame, centroids: np.ndarray, book: Codebook | None = None, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(cell, id, vec), or (cell, id, code) with a codebook: every vector, at length 1, with its nearest cell. No shuffle."""
+    """(cell, id, vec), and code with a codebook: every vector, at length 1, with its nearest cell. No shuffle."""
     sent = df.sparkSession.sparkContext.broadcast((centroids, book))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +153,12 @@ def assign_cells(df: DataFrame, centroids: np.ndarray, book: Codebook | None = N
                 continue
             m = unit_rows(stack_vectors(b.column(1)))
             n, d = m.shape
-            if book_ is None:
-                last = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(m.astype(np.float32).ravel()))
-            else:
-                last = pa.array([x.tobytes() for x in book_.encode(m)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_nearest(m, c).astype(np.int32)), b.column(0), last], ["cell", "id", "vec" if book_ is None else "code"])
+            cols = [pa.array(_nearest(m, c).astype(np.int32)), b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(m.astype(np.float32).ravel()))]
+            if book_ is not None:
+                cols.append(pa.array([x.tobytes() for x in book_.encode(m)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["cell", "id", "vec", "code"][: len(cols)])
 
-    kind = "vec array<float>" if book is None else "code binary"
-    return keyed_vectors(df, key, vector).mapInArrow(run, f"cell int, id bigint, {kind}")
+    return keyed_vectors(df, key, vector).mapInArrow(run, "cell int, id bigint, vec array<float>" + (", code binary" if book is not None else ""))
 
 
 def _write_cells(rows: DataFrame, path: str, batch: int) -> None:
@@ -187,8 +188,6 @@ def append_index(rows: DataFrame, path: str, batch: int = 1, *, key: str = "vec_
     _, centroids = load_index(spark, path)
     book = _load_book(spark, path)
     _write_cells(assign_cells(rows, centroids, book, key=key, vector=vector), path, batch)
-    if book is not None:
-        _keep_vectors(rows, path, batch, key, vector)
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -205,8 +204,8 @@ def _load_book(spark: SparkSession, path: str) -> Codebook | None:
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     """(rows with the folder they lie in, centroids) of a saved index."""
     c = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    last = "code binary" if _there(spark, f"{path}/books") else "vec array<float>"
-    rows = spark.read.schema(f"cell int, id bigint, {last}, batch int, cells int").parquet(f"{path}/cells")
+    code = ", code binary" if _there(spark, f"{path}/books") else ""
+    rows = spark.read.schema(f"cell int, id bigint, vec array<float>{code}, batch int, cells int").parquet(f"{path}/cells")
     return rows.drop("batch"), np.array([r["centroid"] for r in c])
 
 
@@ -320,9 +319,10 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 def exact_scores(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, did, score, rank): the k best of candidate hits (qid, did) by the cosine of whole vectors.
 
-    queries and vectors: (k, v). Candidates are few per query; they are joined by id, first with the vectors they name.
+    queries and vectors: (k, v). Candidates of up to BROADCAST_ROWS are broadcast, so that vectors are filtered where they are read.
     """
-    c = candidates.select("qid", "did").join(vectors.select(F.col("k").alias("did"), F.col("v").alias("dv")), "did").join(queries.select(F.col("k").alias("qid"), F.col("v").alias("qv")), "qid")
+    found = cut(candidates.select("qid", "did"))
+    c = (F.broadcast(found) if found.count() <= BROADCAST_ROWS else found).join(vectors.select(F.col("k").alias("did"), F.col("v").alias("dv")), "did").join(queries.select(F.col("k").alias("qid"), F.col("v").alias("qv")), "qid")
     score = dot(l2_normalize(doubles("qv")), l2_normalize(doubles("dv")))
     return merge_top(c.select("qid", "did", score.alias("score")), k)
 
@@ -342,15 +342,11 @@ def _codes(corpus: DataFrame, book: Codebook, key: str, vector: str) -> DataFram
 # --- an index by plan ------------------------------------------------------------
 
 
-def _keep_vectors(df: DataFrame, path: str, batch: int, key: str, vector: str) -> None:
-    keyed_vectors(df, key, vector).write.mode("overwrite").parquet(f"{path}/vectors/batch={batch}")
-
-
 def build_index(df: DataFrame, path: str, plan: IndexPlan | None = None, *, key: str = "vec_id", vector: str = "embedding", sample: int = TRAIN_ROWS) -> IndexPlan:
     """Fit and write the index that the plan names (None: choose_index of the number of vectors).
 
     flat keeps the vectors; ivf_flat has them in cells; ivf_pq has codes in
-    cells, and the vectors beside them for exact scores of the best candidates.
+    cells, and the vectors in a column beside them, read for exact scores of the best candidates only.
     Subspaces that do not divide the vectors are a ValueError. Rows without id or vector are left out.
     """
     spark = df.sparkSession
@@ -358,9 +354,9 @@ def build_index(df: DataFrame, path: str, plan: IndexPlan | None = None, *, key:
         plan = choose_index(extent(keyed_vectors(df, key, vector))[0])
     if plan.kind not in ("flat", "ivf_flat", "ivf_pq"):
         raise ValueError(f"Unknown index: {plan.kind}; known are flat, ivf_flat, ivf_pq")
-    if plan.kind != "ivf_flat":
-        _keep_vectors(df, path, 0, key, vector)
-    if plan.kind != "flat":
+    if plan.kind == "flat":
+        keyed_vectors(df, key, vector).write.mode("overwrite").parquet(f"{path}/vectors")
+    else:
         centroids = train_cells(df, plan.cells, key=key, vector=vector, sample=sample)
         book = train_codebook(df, plan.subspaces, plan.bits, key=key, vector=vector, sample=sample) if plan.kind == "ivf_pq" else None
         save_index(assign_cells(df, centroids, book, key=key, vector=vector), centroids, path, book)
@@ -380,4 +376,9 @@ def search_index(queries: DataFrame, path: str, k: int, nprobe: int | None = Non
     if plan.kind == "ivf_flat":
         return probe(queries, rows, centroids, k, nprobe, key=key, vector=vector)
     rough = probe(queries, rows, centroids, rerank * k, nprobe, _load_book(spark, path), key=key, vector=vector)
-    return exact_scores(rough, keyed_vectors(queries, key, vector), spark.read.parquet(f"{path}/vectors").select("k", "v"), k)
+    asked = keyed_vectors(queries, key, vector)
+    n, dim = extent(asked)
+    if n * dim * 8 <= QUERY_BYTES:  # the vectors, too, are read from the folders of the probed cells only
+        p = probe_count(len(centroids)) if nprobe is None else min(nprobe, len(centroids))
+        rows = _only(rows, np.unique(_near_cells(collected(asked)[1], centroids, p)), len(centroids))
+    return exact_scores(rough, asked, rows.select(F.col("id").alias("k"), F.col("vec").alias("v")), k)
